@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,10 +47,28 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatc
     return df.mapInArrow(each, schema)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df computed once and stored where a lost executor cannot take it: in the folder of
-    spark.checkpoint.dir, read from the session. Only where the session names none (tests) is one set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors and the driver share. Only where the session
+    names none (tests) is one set."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"/tmp/tickloom-checkpoints-{uuid.uuid4().hex[:8]}")
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared folder and read back: its lineage ends there, and what the
+    stages before it shuffled can go."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df computed once and kept as a checkpoint in the shared folder; for small tables."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

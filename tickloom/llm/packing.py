@@ -219,8 +219,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int |
     ahead = pieces.groupBy("length", "share").agg(F.count("*").alias("n"))
     ahead = ahead.select("length", "share", (F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("ahead"))
     ranked = pieces.join(ahead, ["length", "share"]).withColumn("rank", F.col("ahead") + F.row_number().over(Window.partitionBy("length", "share").orderBy("row")) - 1)
-    schema = "length long, first long, ranks long, each long, sequence long, place long"
-    by_length = spark.createDataFrame(made, schema).groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "ranks", "each", "sequence", "place"))).alias("runs"))
+    runs = defaultdict(list)
+    for length, *run in made:
+        runs[length].append(tuple(run))
+    by_length = spark.createDataFrame(list(runs.items()), "length long, runs array<struct<first:long,ranks:long,each:long,sequence:long,place:long>>")
     ranked = ranked.join(F.broadcast(by_length), "length")
     run = F.filter("runs", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["first"] + s["ranks"]))[0]
     ranked = ranked.withColumn("run", run)

@@ -84,7 +84,7 @@ def _mean_length(t: Texts, i: np.ndarray) -> np.ndarray:
 
 
 def _symbols(t: Texts, i: np.ndarray) -> np.ndarray:
-    return t.n_symbols[i] > 0.5 * t.n_words[i]
+    return t.n_symbols[i] > 0.1 * t.n_words[i]
 
 
 def _repeated_lines(t: Texts, i: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, licenses, packing, quality, secrets, toxicity
+from . import bpe, fingerprints, licenses, neardup, packing, quality, secrets, substrings, suffixes, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,9 +23,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": _documents(lambda docs: packing.pack(docs, WORD_VOCABULARY)),
     "op3_secrets": _documents(secrets.scan),
     "op4_toxicity": lambda spark, sf_dir: toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op5_substrings": _documents(substrings.dedup_words),
+    "op6_suffixes": _documents(suffixes.dedup_bytes),
     "op7_licenses": _documents(licenses.scan),
     "op8_bpe": _documents(lambda docs: bpe.round_trip(docs, BYTE_VOCABULARY)),
     "op9_quality": _documents(quality.judge),
+    "op10_neardup": _documents(neardup.near_duplicates),
 }
 
 #: SQL where it can express a query in a time that whole tables allow.

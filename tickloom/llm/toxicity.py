@@ -28,6 +28,8 @@ DIMENSIONS = 1 << 20
 #: Labelled rows read in training at most.
 SAMPLE = 12_000
 EPOCHS = 2
+#: A row with label 1 counts as the ratio of the other rows to such rows, up to this.
+MOST_WEIGHT = 4.0
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.5, 1.0
 _WORD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
 
@@ -56,9 +58,9 @@ class Ftrl:
         z, n = self.z[x], self.n[x]
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def learn(self, x: np.ndarray, y: float) -> None:
+    def learn(self, x: np.ndarray, y: float, weight: float = 1.0) -> None:
         w = self.weights(x)
-        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+        g = weight * (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y)
         n = self.n[x]
         self.z[x] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[x] = n + g * g
@@ -81,9 +83,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(y.as_py(), np.append(x.values.to_numpy(), np.int32(DIMENSIONS))) for b in batches for y, x in zip(b.column(1), b.column(2), strict=True)]
         order, model = np.random.default_rng(5), Ftrl()
+        ones = sum(y > 0.5 for y, _ in seen)
+        rare = float(np.clip((len(seen) - ones) / max(ones, 1), 1, MOST_WEIGHT))
         for _ in range(EPOCHS):
             for i in order.permutation(len(seen)):
-                model.learn(seen[i][1], seen[i][0])
+                model.learn(seen[i][1], seen[i][0], rare if seen[i][0] > 0.5 else 1.0)
         w = model.weights(np.arange(DIMENSIONS + 1))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
