@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashes of its words (letters and digits, A-Z lower-cased), of pairs in
-a row and of pairs with one word between. Per-coordinate rates and the L1 term leave few non-zero weights;
+Features of a text are the distinct hashes of its words (letters and digits, A-Z lower-cased), of their
+first STEM bytes, of pairs in a row and of pairs with one word between. Per-coordinate rates and the L1 term leave few non-zero weights;
 they are at most DIMENSIONS numbers, so they travel with the scoring function.
 
 Training reads at most SAMPLE labelled documents (those with the smallest hashes of their id), by text and
@@ -27,19 +27,20 @@ from .common import by_batch, full_text
 DIMENSIONS = 1 << 20
 #: Labelled rows read in training at most.
 SAMPLE = 12_000
-EPOCHS = 2
-#: A row with label 1 counts as the ratio of the other rows to such rows, up to this.
-MOST_WEIGHT = 4.0
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.5, 1.0
+EPOCHS = 3
+#: Bytes of the word beginnings that stand in for rare forms of a word.
+STEM = 4
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
 _WORD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every word, pair and skip pair, repeats included."""
+    """(row, feature) of every word, word beginning, pair and skip pair, repeats included."""
     data = _WORD[data]
     start, end, first = R.words(data, offsets)
-    row, h = R.rows_of(first), R.word_symbols(data, start, end)
-    rows, found = [row], [R.mix(h)]
+    hashes = R.Hashes(R.byte_symbols(data))
+    row, h = R.rows_of(first), hashes.spans(start, end)
+    rows, found = [row, row], [R.mix(h), R.mix(hashes.spans(start, np.minimum(start + STEM, end)) ^ np.uint64(0x632BE59BD9B4E019))]
     for gap, salt in ((1, 0xA24BAED4963EE407), (2, 0x9FB21C651E98DF25)):
         if len(h) > gap:
             ok = row[gap:] == row[:-gap]
@@ -58,9 +59,9 @@ class Ftrl:
         z, n = self.z[x], self.n[x]
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def learn(self, x: np.ndarray, y: float, weight: float = 1.0) -> None:
+    def learn(self, x: np.ndarray, y: float) -> None:
         w = self.weights(x)
-        g = weight * (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y)
+        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y
         n = self.n[x]
         self.z[x] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[x] = n + g * g
@@ -83,11 +84,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(y.as_py(), np.append(x.values.to_numpy(), np.int32(DIMENSIONS))) for b in batches for y, x in zip(b.column(1), b.column(2), strict=True)]
         order, model = np.random.default_rng(5), Ftrl()
-        ones = sum(y > 0.5 for y, _ in seen)
-        rare = float(np.clip((len(seen) - ones) / max(ones, 1), 1, MOST_WEIGHT))
         for _ in range(EPOCHS):
             for i in order.permutation(len(seen)):
-                model.learn(seen[i][1], seen[i][0], rare if seen[i][0] > 0.5 else 1.0)
+                model.learn(seen[i][1], seen[i][0])
         w = model.weights(np.arange(DIMENSIONS + 1))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
