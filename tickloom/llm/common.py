@@ -36,6 +36,13 @@ def doc_id() -> Column:
     return F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id")
 
 
+def sampled(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """About ``rows`` rows of df, or all if it has no more: those whose hash of ``columns`` is smallest. Each
+    partition keeps its own share, so nothing is shuffled."""
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < int((1 << 40) * rows / n))
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """f over each Arrow batch; f may give any number of batches."""
 

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import by_batch
+from .common import by_batch, sampled
 
-#: Rows of the sample that orders the rules.
+#: Rows (about) of the sample that orders the rules.
 SAMPLE = 512
 SHINGLE = 8
 _SYMBOLS = np.zeros(256, dtype=np.int64)
@@ -114,7 +114,7 @@ RULES: dict[str, Rule] = {"mean_length": _mean_length, "symbols": _symbols, "rep
 
 
 def order_rules(docs: DataFrame, rules: dict[str, Rule] = RULES, sample: int = SAMPLE) -> list[str]:
-    """Rule names by rejections per second over at most ``sample`` rows, ties by name."""
+    """Rule names by rejections per second over about ``sample`` rows, ties by name."""
     names = sorted(rules)
 
     def measure(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def order_rules(docs: DataFrame, rules: dict[str, Rule] = RULES, sample: int = S
                 out.append((name, rejected, time.perf_counter() - began))
             yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)], names=["rule", "rejected", "seconds"])
 
-    measured = by_batch(docs.select(F.col("text").cast("string").alias("text")).limit(sample), measure, "rule string, rejected long, seconds double")
+    measured = by_batch(sampled(docs, sample, "doc_id").select(F.col("text").cast("string").alias("text")), measure, "rule string, rejected long, seconds double")
     rate = {r["rule"]: (r["rejected"] + 0.5) / (r["seconds"] + 1e-6) for r in measured.groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()}  # a row for each rule
     return sorted(names, key=lambda x: (-rate.get(x, 0.0), x))
 

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, full_text
+from .common import by_batch, full_text, sampled
 
-#: Documents, words of each and random strings in the labelled samples.
+#: Documents (about), words of each and random strings in the labelled samples.
 SAMPLE_DOCS = 256
 SAMPLE_WORDS = 400
 SAMPLE_RANDOM = 4000
@@ -94,8 +94,8 @@ def log_ratio(ordinary: np.ndarray, drawn: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Table of log ratios. The sample: rows with the smallest hashes of their text, at most sample_docs."""
-    sample = docs.select(full_text().alias("text")).select("text", F.xxhash64("text").alias("place")).where(F.pmod("place", F.lit(16)) == 0).orderBy("place").limit(sample_docs).select("text")
+    """Table of log ratios, from about sample_docs documents."""
+    sample = sampled(docs, sample_docs, "doc_id").select(full_text().alias("text"))
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts = _counts([w for t in batch.column(0) for w in identifiers(t.as_py())])
