@@ -2,8 +2,8 @@
 
 A document is the set of its distinct five-word shingles (A-Z lower-cased). Each set has REGISTERS
 registers; a shingle's hash picks one and the smallest rest there is kept as its leading-zero count and ten
-mantissa bits. Bands of ROWS registers are keys, documents with a key in common are candidates, and their
-links are confirmed on the full sets.
+mantissa bits. Bands of ROWS registers are keys (empty registers borrow their neighbour's value there),
+documents with a key in common are candidates, and their links are confirmed on the full sets.
 
 Documents with equal sets are one class with one representative. Candidate links of representatives give
 coarse clusters, which no true link is likely to leave (at 0.85 a pair shares no band with probability
@@ -78,9 +78,19 @@ def registers(rows: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
     return packed.reshape(n, REGISTERS)
 
 
+def filled(m: np.ndarray) -> np.ndarray:
+    """m with each empty register taken from the next one that is not, in a circle; only rows without any
+    stay empty. So each register of a small set still stands for one of its shingles."""
+    n = len(m)
+    at = np.where(m != _EMPTY, np.arange(REGISTERS), 4 * REGISTERS)
+    twice = np.concatenate([at, at + REGISTERS], axis=1)
+    following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]
+    return m[np.arange(n)[:, None], following % REGISTERS]
+
+
 def band_keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band with a register that is not empty."""
-    parts = m.reshape(len(m), BANDS, ROWS)
+    """(row, key) of every band. A band's registers lie far apart, so few of them share a borrowed value."""
+    parts = filled(m).reshape(len(m), ROWS, BANDS).transpose(0, 2, 1)
     weights = R._WEIGHTS[:ROWS]
     keys = R.mix((parts.astype(_U) * weights).sum(axis=2) + np.arange(1, BANDS + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
     row, band = np.nonzero((parts != _EMPTY).any(axis=2))
