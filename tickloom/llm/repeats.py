@@ -109,10 +109,15 @@ def _lists(places: DataFrame) -> DataFrame:
     return places.groupBy("_id", "_mark").agg(F.collect_list("place").alias("places"))
 
 
+def _repeated_keys(rows: DataFrame) -> DataFrame:
+    """Keys of two rows or more; stored, so that the join with them can split a hot key's rows."""
+    return stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+
+
 def _grade(rows: DataFrame) -> DataFrame:
     """(_id, _mark, place, settled, descends) of the rows whose windows are repeated (settled), or not yet
     known (descends: one for each kind of hull that a key has, if it has several)."""
-    repeated = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    repeated = _repeated_keys(rows)
     alive = stored(rows.join(repeated, "key").withColumn("kind", F.xxhash64("key", "hull")).drop("hull"))
     kinds = alive.groupBy("kind").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.min(F.struct("_id", "_mark", "place")).alias("chosen"))
     several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -138,7 +143,7 @@ def repeated_windows(docs: DataFrame, w: Windows) -> DataFrame:
 
 def _same(rows: DataFrame) -> DataFrame:
     """The last grade: windows whose whole content stands twice or more."""
-    repeated = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    repeated = _repeated_keys(rows)
     return stored(rows.join(repeated, "key").select("_id", "_mark", "place", F.lit(True).alias("settled")))
 
 
