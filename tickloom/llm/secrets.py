@@ -31,7 +31,7 @@ SAMPLE_DOCS = 256
 SAMPLE_WORDS = 400
 SAMPLE_RANDOM = 4000
 MIN_LENGTH = 20
-THRESHOLD = 0.35
+THRESHOLD = 0.6
 #: The patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -87,10 +87,16 @@ def identifiers(text: str, most: int = SAMPLE_WORDS) -> list[str]:
     return words + [f"{a}_{b}" for a, b in pairs[:20]] + [a + b.capitalize() for a, b in pairs[20:40]] + [f"{a}-{b}" for a, b in pairs[40:60]] + [f"{a}/{b}" for a, b in pairs[60:80]]
 
 
+def _likelihood(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each character after each, drawn towards the characters' own frequencies where a
+    predecessor is rare."""
+    alone = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * len(counts))
+    return np.log((counts + 8.0 * alone) / (counts.sum(1, keepdims=True) + 8.0))
+
+
 def log_ratio(ordinary: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio (random against ordinary) of each character after each, counts smoothed by one."""
-    p, q = drawn + 1.0, ordinary + 1.0
-    return np.log(p / p.sum(1, keepdims=True)) - np.log(q / q.sum(1, keepdims=True))
+    """Log-likelihood ratio, random against ordinary."""
+    return _likelihood(drawn) - _likelihood(ordinary)
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
