@@ -105,6 +105,32 @@ def commodity_channel(candles: DataFrame, n: int = 20, k: float = 0.015) -> Data
     return window.withColumn("md", deviation).withColumn("cci", full(F.when(F.col("md") == 0, 0.0).otherwise((F.col("tp") - F.col("mean")) / (k * F.when(F.col("md") != 0, F.col("md")))), n)).drop("tp", "mean", "all", "md")
 
 
+def anchored_vwap(candles: DataFrame, hours: int = 24) -> DataFrame:
+    """candles with vwap_day: volume-weighted typical price since the anchor began."""
+    day = Window.partitionBy("symbol", "anchor").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    volume = F.sum("v").over(day)
+    return candles.withColumn("anchor", F.floor(F.col("t") / hours)).withColumn("vwap_day", F.when(volume > 0, F.sum(typical() * F.col("v")).over(day) / volume)).drop("anchor")
+
+
+def bull_share(n: int = 30) -> Column:
+    """Share of the last n bars (fewer at the start) that closed above their open, in per cent."""
+    return F.avg(F.when(F.col("c") > F.col("o"), 100.0).otherwise(0.0)).over(rows(n))
+
+
+def volume_slope(candles: DataFrame, n: int = 20) -> DataFrame:
+    """candles with volume_slope: change of mean volume against n bars before, within -1 and 1; 0 while too short."""
+    mean = candles.withColumn("mean_v", F.avg("v").over(rows(n)))
+    before = F.lag("mean_v", n).over(series())
+    change = (F.col("mean_v") - before) / F.when(before > 0, before)
+    return mean.withColumn("volume_slope", F.when((F.col("i") >= 2 * n - 1) & (before > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), change))).otherwise(0.0)).drop("mean_v")
+
+
+def return_spread(candles: DataFrame, n: int = 20) -> DataFrame:
+    """candles with return_std: population deviation of n log returns, in units of the close."""
+    returns = candles.withColumn("r", F.ln(F.col("c") / F.lag("c").over(series())))
+    return returns.withColumn("return_std", full(F.stddev_pop("r").over(rows(n)) * F.col("c"), n, 1)).drop("r")
+
+
 def _seeded(x: np.ndarray, n: int, first: int, gain: float) -> np.ndarray:
     """Exponential average from bar ``first`` on: the mean of n values, then steps of ``gain``."""
     out = np.full(len(x), np.nan)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,5 +82,22 @@ def volume_profile(candles: DataFrame, buckets: int = 24, lookback: int = 200) -
     return grid.join(sums, ["symbol", "bucket"], "left").fillna(0.0, ["volume", "up", "down"])
 
 
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def levels(candles: DataFrame, tolerance: float = 0.5, half_life: int = 500) -> DataFrame:
+    """(symbol, price, touches, kinds, strength): pivots clustered where the next price is within ``tolerance``;
+    the median price, and touches that halve in weight every half_life bars of age."""
+    found = pivots(candles)
+    newest = F.max("i").over(Window.partitionBy("symbol"))
+    by_price = Window.partitionBy("symbol").orderBy("price", "i", "kind")
+    apart = F.coalesce((F.col("price") - F.lag("price").over(by_price) > tolerance).cast("int"), F.lit(0))
+    islands = found.withColumns({"age": newest - F.col("i"), "apart": apart}).withColumn("island", F.sum("apart").over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
+    kinds = F.when(F.min("kind") != F.max("kind"), "both").when(F.min("kind") == "high", "resistance").otherwise("support")
+    return islands.groupBy("symbol", "island").agg(F.median("price").alias("price"), F.count("*").alias("touches"), kinds.alias("kinds"), F.sum(F.pow(F.lit(0.5), F.col("age") / half_life)).alias("strength")).drop("island")
+
+
+def premium_discount(candles: DataFrame) -> DataFrame:
+    """(symbol, high, low, pct, zone): where the last close lies between the newest high and low pivots."""
+    ends = pivots(candles).groupBy("symbol").agg(F.max_by("price", F.when(F.col("kind") == "high", F.col("i"))).alias("high"), F.max_by("price", F.when(F.col("kind") == "low", F.col("i"))).alias("low"))
+    last = candles.groupBy("symbol").agg(F.max_by("c", "i").alias("c"))
+    found = ends.where("high > low").join(last, "symbol").withColumn("pct", (F.col("c") - F.col("low")) / (F.col("high") - F.col("low")))
+    pct = F.col("pct")
+    return found.select("symbol", "high", "low", "pct", F.when((pct < 0) | (pct > 1), "outside").when(pct < 0.45, "discount").when(pct <= 0.55, "equilibrium").otherwise("premium").alias("zone"))

@@ -51,6 +51,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_stats": _bars(lambda b: structure.session_stats(b).select("symbol", "session", "bars", _r("avg_range"), _r("avg_volume"))),
     "candle_patterns": _bars(structure.candle_patterns),
     "volume_profile": _bars(structure.volume_profile),
+    "anchored_vwap": _after(I.anchored_vwap, "vwap_day"),
+    "bull_share": _series(lambda: dict(bull30=I.bull_share())),
+    "volume_slope": _after(I.volume_slope, "volume_slope"),
+    "return_spread": _after(I.return_spread, "return_std"),
+    "levels": _bars(lambda b: structure.levels(b).select("symbol", _r("price"), "touches", "kinds", _r("strength"))),
+    "premium_discount": _bars(lambda b: structure.premium_discount(b).select("symbol", "high", "low", _r("pct"), "zone")),
     "scan": _bars(lambda b: scan.newest(b).select("symbol", "i", "c", *(_r(n) for n in ("bb_up", "bb_mid", "bb_low", "k", "roc10", "bull30")), "direction")),
 }
 
@@ -105,5 +111,11 @@ SQL: dict[str, str] = {
     "session_stats": _WITH + ", s AS (SELECT *, t % 24 AS x FROM b), y AS (SELECT *, CASE WHEN x >= 22 OR x < 2 THEN 'asia' WHEN x BETWEEN 7 AND 9 THEN 'london' WHEN x BETWEEN 12 AND 14 THEN 'ny-am' WHEN x = 15 THEN 'ny-pm' ELSE 'off-hours' END AS session FROM s) SELECT symbol, session, COUNT(*) AS bars, ROUND(AVG(h - l), 6) AS avg_range, ROUND(AVG(v), 6) AS avg_volume FROM y GROUP BY ALL",
     "candle_patterns": _WITH + _PATTERN + " SELECT * FROM y WHERE patterns <> ''",
     "volume_profile": _WITH + ", n AS (SELECT *, COUNT(*) OVER (PARTITION BY symbol) AS n FROM b), z AS (SELECT * FROM n WHERE i >= n - 200), e AS (SELECT symbol, MIN(l) AS lo, MAX(h) AS hi FROM z GROUP BY symbol HAVING MAX(h) > MIN(l)), s AS (SELECT z.symbol, GREATEST(0, LEAST(23, CAST(FLOOR((tp - lo) / ((hi - lo) / 24)) AS INTEGER))) AS bucket, SUM(v) AS volume, SUM(CASE WHEN c >= o THEN v ELSE 0.0 END) AS up, SUM(CASE WHEN c < o THEN v ELSE 0.0 END) AS down FROM z JOIN e ON z.symbol = e.symbol GROUP BY ALL) SELECT e.symbol, CAST(g.x AS INTEGER) AS bucket, COALESCE(volume, 0.0) AS volume, COALESCE(up, 0.0) AS up, COALESCE(down, 0.0) AS down FROM e CROSS JOIN range(24) g(x) LEFT JOIN s ON s.symbol = e.symbol AND s.bucket = g.x",
+    "anchored_vwap": f"{_WITH}, s AS (SELECT *, t // 24 AS a FROM b) SELECT symbol, i, ROUND(SUM(tp * v) OVER (PARTITION BY symbol, a ORDER BY i ROWS UNBOUNDED PRECEDING) / SUM(v) OVER (PARTITION BY symbol, a ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS vwap_day FROM s",
+    "bull_share": _sql(f"ROUND(AVG(CASE WHEN c > o THEN 100.0 ELSE 0.0 END) {_w(30)}, 6) AS bull30 FROM b"),
+    "volume_slope": f"{_WITH}, s AS (SELECT symbol, i, AVG(v) {_w(20)} AS m FROM b), u AS (SELECT *, LAG(m, 20) OVER ({_S}) AS p FROM s) SELECT symbol, i, ROUND(CASE WHEN i >= 39 AND p > 0 THEN GREATEST(-1.0, LEAST(1.0, (m - p) / p)) ELSE 0.0 END, 6) AS volume_slope FROM u",
+    "return_spread": f"{_WITH}, s AS (SELECT symbol, i, c, LN(c / LAG(c) OVER ({_S})) AS r FROM b) SELECT symbol, i, {_full(f'STDDEV_POP(r) {_w(20)} * c', 21, 'return_std')} FROM s",
+    "levels": _WITH + _PIVOT + ", a AS (SELECT *, MAX(i) OVER (PARTITION BY symbol) - i AS age, COALESCE(CAST(price - LAG(price) OVER (PARTITION BY symbol ORDER BY price, i, kind) > 0.5 AS INTEGER), 0) AS apart FROM f), s AS (SELECT *, SUM(apart) OVER (PARTITION BY symbol ORDER BY price, i, kind ROWS UNBOUNDED PRECEDING) AS island FROM a) SELECT symbol, ROUND(MEDIAN(price), 6) AS price, COUNT(*) AS touches, CASE WHEN MIN(kind) <> MAX(kind) THEN 'both' WHEN MIN(kind) = 'high' THEN 'resistance' ELSE 'support' END AS kinds, ROUND(SUM(POW(0.5::DOUBLE, age / 500.0::DOUBLE)), 6) AS strength FROM s GROUP BY symbol, island",
+    "premium_discount": _WITH + _PIVOT + ", e AS (SELECT symbol, ARG_MAX(price, i) FILTER (kind = 'high') AS high, ARG_MAX(price, i) FILTER (kind = 'low') AS low FROM f GROUP BY symbol), l AS (SELECT symbol, ARG_MAX(c, i) AS c FROM b GROUP BY symbol), z AS (SELECT e.symbol, high, low, (c - low) / (high - low) AS pct FROM e JOIN l ON e.symbol = l.symbol WHERE high > low) SELECT symbol, high, low, ROUND(pct, 6) AS pct, CASE WHEN pct < 0 OR pct > 1 THEN 'outside' WHEN pct < 0.45 THEN 'discount' WHEN pct <= 0.55 THEN 'equilibrium' ELSE 'premium' END AS zone FROM z",
     "scan": f"{_WITH}, s AS (SELECT symbol, i, c, AVG(c) {_w(20)} AS m, STDDEV_POP(c) {_w(20)} * 2 AS d, {_K} AS k, (c - LAG(c, 10) OVER ({_S})) / LAG(c, 10) OVER ({_S}) * 100.0::DOUBLE AS roc10, AVG(CASE WHEN c > o THEN 100.0 ELSE 0.0 END) {_w(30)} AS bull30 FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) = 1) SELECT symbol, i, c, ROUND(m + d, 6) AS bb_up, ROUND(m, 6) AS bb_mid, ROUND(m - d, 6) AS bb_low, ROUND(k, 6) AS k, ROUND(roc10, 6) AS roc10, ROUND(bull30, 6) AS bull30, CASE WHEN c > m AND roc10 > 0 THEN 'long' WHEN c < m AND roc10 < 0 THEN 'short' ELSE 'neutral' END AS direction FROM s",
 }
