@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tickloom.queries import QUERIES, SQL
+from tickloom.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
 

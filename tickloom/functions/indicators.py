@@ -141,24 +141,72 @@ def _seeded(x: np.ndarray, n: int, first: int, gain: float) -> np.ndarray:
     return out
 
 
+def _directional(h: np.ndarray, low: np.ndarray, ranges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """+DI, -DI and ADX; bars before any range leave them empty."""
+    up, down = np.diff(h, prepend=h[:1]), -np.diff(low, prepend=low[:1])
+    smooth = lambda x: _seeded(x, n, 1, 1 / n)
+    span = smooth(ranges)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plus, minus = (np.where(span > 0, 100.0 * smooth(np.where((a > b) & (a > 0), a, 0.0)) / span, np.nan) for a, b in ((up, down), (down, up)))
+        both = plus + minus
+        dx = np.where(both > 0, 100.0 * np.abs(plus - minus) / both, 0.0)
+    known, adx = span > 0, np.full(len(h), np.nan)
+    adx[known] = _seeded(dx[known], n, 0, 1 / n)
+    return plus, minus, adx
+
+
+def _parabolic(h: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """Stop and side (1 long, -1 short) at every bar. A short run is a long run of the mirrored prices."""
+    stop, side = np.full(len(h), np.nan), np.zeros(len(h), int)
+    if len(h) < 2:
+        return stop, side
+    s = 1 if h[1] >= h[0] else -1
+    stop[0], side[0] = (low[0], 1) if s > 0 else (h[0], -1)
+    at, extreme, pace = s * stop[0], h[0] if s > 0 else -low[0], step
+    for i in range(1, len(h)):
+        best, worst = (h[i], low[i]) if s > 0 else (-low[i], -h[i])
+        bound = min((low if s > 0 else -h)[max(0, i - 2) : i])
+        at = min(at + pace * (extreme - at), bound)
+        if worst < at:
+            s, at, extreme, pace = -s, -extreme, -worst, step
+        elif best > extreme:
+            extreme, pace = best, min(pace + step, most)
+        stop[i], side[i] = s * at, s
+    return stop, side
+
+
+#: Columns that ``recurrences`` adds.
+RECURRENT = ("ema20", "ema50", "ema200", "dema20", "tema20", "rsi14", "atr14", "plus_di", "minus_di", "adx14", "macd", "macd_signal", "macd_hist", "psar", "psar_side")
+
+
 def recurrences(candles: DataFrame) -> DataFrame:
-    """candles with ema20, ema50, rsi14, atr14, macd, macd_signal, macd_hist."""
+    """candles with the columns RECURRENT, null while warming up; a symbol's bars are read once."""
 
     def each(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("i")
         h, low, c = (bars[x].to_numpy(float) for x in "hlc")
-        ema = lambda x, n: _seeded(x, n, 0, 2.0 / (n + 1))
+        ema = lambda x, n: _seeded(np.nan_to_num(x), n, 0, 2.0 / (n + 1))
+        one = ema(c, 20)
+        two = ema(one, 20)
+        three = ema(two, 20)
         step = np.diff(c, prepend=c[:1])
         gain, loss = _seeded(np.maximum(step, 0), 14, 1, 1 / 14), _seeded(np.maximum(-step, 0), 14, 1, 1 / 14)
         with np.errstate(divide="ignore", invalid="ignore"):
             rsi = np.where(np.isnan(loss), np.nan, np.where(loss == 0, 100.0, 100.0 - 100.0 / (1.0 + gain / loss)))
         before = np.concatenate([c[:1], c[:-1]])
         ranges = np.maximum(h - low, np.maximum(np.abs(h - before), np.abs(low - before)))
+        plus, minus, adx = _directional(h, low, ranges, 14)
         macd = ema(c, 12) - ema(c, 26)
-        signal = ema(np.nan_to_num(macd), 9)
+        signal = ema(macd, 9)
         signal[:33] = np.nan
-        return bars.assign(ema20=ema(c, 20), ema50=ema(c, 50), rsi14=rsi, atr14=_seeded(ranges, 14, 1, 1 / 14), macd=macd, macd_signal=signal, macd_hist=macd - signal)
+        stop, side = _parabolic(h, low)
+        made = (one, ema(c, 50), ema(c, 200), 2 * one - two, 3 * one - 3 * two + three, rsi, _seeded(ranges, 14, 1, 1 / 14), plus, minus, adx, macd, signal, macd - signal, stop, side.astype(float))
+        return bars.assign(**dict(zip(RECURRENT, made, strict=True)))
+
+    made = candles.groupBy("symbol").applyInPandas(each, ", ".join(f"{n} {t}" for n, t in candles.dtypes) + "".join(f", {n} double" for n in RECURRENT))
+    return made.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in RECURRENT})
+
 
-    names = ("ema20", "ema50", "rsi14", "atr14", "macd", "macd_signal", "macd_hist")
-    made = candles.groupBy("symbol").applyInPandas(each, ", ".join(f"{n} {t}" for n, t in candles.dtypes) + "".join(f", {n} double" for n in names))
-    return made.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+def keltner(recurrent: DataFrame, k: float = 2.0) -> DataFrame:
+    """recurrent bars with kc_up, kc_mid, kc_low: ema20 and k mean ranges around it."""
+    return recurrent.withColumns({"kc_up": F.col("ema20") + F.col("atr14") * k, "kc_mid": F.col("ema20"), "kc_low": F.col("ema20") - F.col("atr14") * k})

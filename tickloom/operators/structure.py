@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,19 +10,105 @@ from pyspark.sql.window import Window
 from ..sources.candles import series
 
 
-def pivots(candles: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
-    """(symbol, i, kind, price, label): bars above (below) all of ``left`` before and none after; labels against
-    the same kind's last pivot (HH, LH, HL, LL; H and L first)."""
+def marked(candles: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """candles with pivot_high and pivot_low: the price of a bar above (below) all of ``left`` before and none of
+    ``right`` after, else null."""
     before, after = series().rowsBetween(-left, -1), series().rowsBetween(1, right)
     inside = (F.count("*").over(before) == left) & (F.count("*").over(after) == right)
-    marked = candles.withColumns({"high": inside & (F.col("h") > F.max("h").over(before)) & (F.col("h") >= F.max("h").over(after)), "low": inside & (F.col("l") < F.min("l").over(before)) & (F.col("l") <= F.min("l").over(after))})
-    found = marked.where("high").select("symbol", "i", F.lit("high").alias("kind"), F.col("h").alias("price")).union(marked.where("low").select("symbol", "i", F.lit("low").alias("kind"), F.col("l").alias("price")))
+    high = inside & (F.col("h") > F.max("h").over(before)) & (F.col("h") >= F.max("h").over(after))
+    low = inside & (F.col("l") < F.min("l").over(before)) & (F.col("l") <= F.min("l").over(after))
+    return candles.withColumns({"pivot_high": F.when(high, F.col("h")), "pivot_low": F.when(low, F.col("l"))})
+
+
+def pivots(candles: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """(symbol, i, kind, price, label): pivots, labelled against the same kind's last one (HH, LH, HL, LL; H and L
+    first)."""
+    ends = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"pivot_{k}").alias("price")) for k in ("high", "low")))).alias("p")
+    found = marked(candles, left, right).where("pivot_high IS NOT NULL OR pivot_low IS NOT NULL").select("symbol", "i", ends).select("symbol", "i", "p.*").where("price IS NOT NULL")
     last = F.lag("price").over(Window.partitionBy("symbol", "kind").orderBy("i"))
     high = F.when(last.isNull(), "H").when(F.col("price") > last, "HH").otherwise("LH")
     low = F.when(last.isNull(), "L").when(F.col("price") > last, "HL").otherwise("LL")
     return found.withColumn("label", F.when(F.col("kind") == "high", high).otherwise(low))
 
 
+def trend(candles: DataFrame) -> DataFrame:
+    """(symbol, trend): up, down or range by the newest high and low of the last four pivots, unknown without both."""
+    newest = Window.partitionBy("symbol").orderBy(F.desc("i"), F.desc("kind"))
+    last = pivots(candles).withColumn("n", F.row_number().over(newest)).where("n <= 4")
+    label = {k: F.max_by("label", F.when(F.col("kind") == k, F.col("i"))) for k in ("high", "low")}
+    both = last.groupBy("symbol").agg(label["high"].alias("hi"), label["low"].alias("lo"))
+    named = F.when(F.col("hi").isNull() | F.col("lo").isNull(), "unknown").when((F.col("hi") == "HH") & (F.col("lo") == "HL"), "up").when((F.col("hi") == "LH") & (F.col("lo") == "LL"), "down").otherwise("range")
+    return both.select("symbol", named.alias("trend"))
+
+
+def breaks(candles: DataFrame) -> DataFrame:
+    """(symbol, i, type, dir, level): closes beyond the newest unbroken pivot; CHoCH against the last break's
+    direction, else BoS. One event a bar, upward first; a broken pivot is used up."""
+
+    def each(bars: pd.DataFrame) -> pd.DataFrame:
+        levels, side, found = {1: None, -1: None}, 0, []
+        for i, c, high, low in bars.sort_values("i")[["i", "c", "pivot_high", "pivot_low"]].itertuples(index=False):
+            for way, price in ((1, high), (-1, low)):
+                levels[way] = price if price == price and price is not None else levels[way]
+            for way in (1, -1):
+                if levels[way] is not None and (c - levels[way]) * way > 0:
+                    found.append((bars["symbol"].iloc[0], i, "CHoCH" if side == -way else "BoS", "up" if way > 0 else "down", levels[way]))
+                    side, levels[way] = way, None
+                    break
+        return pd.DataFrame(found, columns=["symbol", "i", "type", "dir", "level"])
+
+    return marked(candles).select("symbol", "i", "c", "pivot_high", "pivot_low").groupBy("symbol").applyInPandas(each, "symbol string, i int, type string, dir string, level double")
+
+
+def _first_overlap(zones: DataFrame, candles: DataFrame) -> DataFrame:
+    """zones (symbol, i, dir, bottom, top) with mitigated_at: the first later bar that overlaps them."""
+    later = candles.select("symbol", F.col("i").alias("j"), "h", "l")
+    hit = zones.join(later, (zones["symbol"] == later["symbol"]) & (F.col("j") > F.col("i")) & (F.col("l") <= F.col("top")) & (F.col("h") >= F.col("bottom")), "left").select(zones["*"], "j")
+    return hit.groupBy("symbol", "i", "dir", "bottom", "top").agg(F.min("j").alias("mitigated_at"))
+
+
+def order_blocks(recurrent: DataFrame, impulse: float = 1.5, ahead: int = 3) -> DataFrame:
+    """(symbol, i, dir, bottom, top, mitigated_at): bars against which price moved ``impulse`` mean ranges within
+    ``ahead`` bars, past the newest earlier pivot. Takes bars with atr14."""
+    later, earlier = series().rowsBetween(1, ahead), series().rowsBetween(Window.unboundedPreceding, -1)
+    seen = marked(recurrent).withColumns({"top_after": F.max("h").over(later), "low_after": F.min("l").over(later), "after": F.count("*").over(later), "high_before": F.last("pivot_high", True).over(earlier), "low_before": F.last("pivot_low", True).over(earlier)})
+    move = impulse * F.col("atr14")
+    usable = seen.where((F.col("i") >= 1) & (F.col("after") == ahead) & (F.col("atr14") > 0))
+    bull = (F.col("c") < F.col("o")) & (F.col("top_after") - F.col("l") >= move) & (F.col("top_after") > F.col("high_before"))
+    bear = (F.col("c") > F.col("o")) & (F.col("h") - F.col("low_after") >= move) & (F.col("low_after") < F.col("low_before"))
+    zones = usable.withColumn("dir", F.when(bull, "bull").when(bear, "bear")).where("dir IS NOT NULL").select("symbol", "i", "dir", F.col("l").alias("bottom"), F.col("h").alias("top"))
+    return _first_overlap(zones, recurrent)
+
+
+def equal_levels(candles: DataFrame, tolerances: DataFrame, touches: int = 2) -> DataFrame:
+    """(symbol, kind, price, touches, last_i): pivots of a kind by price, joined to a level while within the
+    symbol's tolerance of its mean so far; levels with enough touches. tolerances: (symbol, tolerance)."""
+
+    def each(points: pd.DataFrame) -> pd.DataFrame:
+        groups: list[list] = []
+        for i, price, tolerance in points.sort_values(["price", "i"])[["i", "price", "tolerance"]].itertuples(index=False):
+            if groups and abs(price - groups[-1][0] / groups[-1][1]) <= tolerance:
+                total, n, last = groups[-1]
+                groups[-1] = [total + price, n + 1, max(last, i)]
+            else:
+                groups.append([price, 1, i])
+        one = points.iloc[0]
+        return pd.DataFrame([(one["symbol"], one["kind"], s / n, n, i) for s, n, i in groups if n >= touches], columns=["symbol", "kind", "price", "touches", "last_i"])
+
+    found = pivots(candles).join(tolerances.where("tolerance > 0"), "symbol")
+    return found.select("symbol", "kind", "i", "price", "tolerance").groupBy("symbol", "kind").applyInPandas(each, "symbol string, kind string, price double, touches int, last_i int")
+
+
+def sweeps(candles: DataFrame, levels: DataFrame) -> DataFrame:
+    """levels with swept_at: the first bar after the last touch whose wick passes the level and whose close stays
+    inside; null if none."""
+    bars = candles.select(F.col("symbol").alias("s"), F.col("i").alias("j"), "h", "l", "c")
+    price, high = F.col("price"), F.col("kind") == "high"
+    beyond = F.when(high, (F.col("h") > price) & (F.col("c") < price)).otherwise((F.col("l") < price) & (F.col("c") > price))
+    hit = levels.join(bars, (F.col("s") == F.col("symbol")) & (F.col("j") > F.col("last_i")) & beyond, "left")
+    return hit.groupBy(*levels.columns).agg(F.min("j").alias("swept_at"))
+
+
 def gaps(candles: DataFrame) -> DataFrame:
     """(symbol, i, dir, bottom, top, mitigated_at): gaps between a bar and the one two before, and the first later
     bar that overlaps them."""
@@ -29,10 +116,7 @@ def gaps(candles: DataFrame) -> DataFrame:
     marked = candles.withColumns({"h2": h2, "l2": l2})
     bull = marked.where("h2 < l").select("symbol", "i", F.lit("bull").alias("dir"), F.col("h2").alias("bottom"), F.col("l").alias("top"))
     bear = marked.where("l2 > h").select("symbol", "i", F.lit("bear").alias("dir"), F.col("h").alias("bottom"), F.col("l2").alias("top"))
-    found = bull.union(bear)
-    later = candles.select("symbol", F.col("i").alias("j"), "h", "l")
-    hit = found.join(later, (found["symbol"] == later["symbol"]) & (F.col("j") > F.col("i")) & (F.col("l") <= F.col("top")) & (F.col("h") >= F.col("bottom")), "left").select(found["*"], "j")
-    return hit.groupBy("symbol", "i", "dir", "bottom", "top").agg(F.min("j").alias("mitigated_at"))
+    return _first_overlap(bull.union(bear), candles)
 
 
 def session(hour: Column) -> Column:
@@ -82,13 +166,14 @@ def volume_profile(candles: DataFrame, buckets: int = 24, lookback: int = 200) -
     return grid.join(sums, ["symbol", "bucket"], "left").fillna(0.0, ["volume", "up", "down"])
 
 
-def levels(candles: DataFrame, tolerance: float = 0.5, half_life: int = 500) -> DataFrame:
-    """(symbol, price, touches, kinds, strength): pivots clustered where the next price is within ``tolerance``;
-    the median price, and touches that halve in weight every half_life bars of age."""
+def levels(candles: DataFrame, tolerance: float = 0.5, half_life: int = 500, tolerances: DataFrame | None = None) -> DataFrame:
+    """(symbol, price, touches, kinds, strength): pivots clustered where the next price is within ``tolerance`` (or
+    that of the symbol in tolerances); the median price, and touches that halve in weight every half_life bars of age."""
     found = pivots(candles)
+    found = found.withColumn("tolerance", F.lit(tolerance)) if tolerances is None else found.join(tolerances, "symbol")
     newest = F.max("i").over(Window.partitionBy("symbol"))
     by_price = Window.partitionBy("symbol").orderBy("price", "i", "kind")
-    apart = F.coalesce((F.col("price") - F.lag("price").over(by_price) > tolerance).cast("int"), F.lit(0))
+    apart = F.coalesce((F.col("price") - F.lag("price").over(by_price) > F.col("tolerance")).cast("int"), F.lit(0))
     islands = found.withColumns({"age": newest - F.col("i"), "apart": apart}).withColumn("island", F.sum("apart").over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
     kinds = F.when(F.min("kind") != F.max("kind"), "both").when(F.min("kind") == "high", "resistance").otherwise("support")
     return islands.groupBy("symbol", "island").agg(F.median("price").alias("price"), F.count("*").alias("touches"), kinds.alias("kinds"), F.sum(F.pow(F.lit(0.5), F.col("age") / half_life)).alias("strength")).drop("island")
@@ -101,3 +186,30 @@ def premium_discount(candles: DataFrame) -> DataFrame:
     found = ends.where("high > low").join(last, "symbol").withColumn("pct", (F.col("c") - F.col("low")) / (F.col("high") - F.col("low")))
     pct = F.col("pct")
     return found.select("symbol", "high", "low", "pct", F.when((pct < 0) | (pct > 1), "outside").when(pct < 0.45, "discount").when(pct <= 0.55, "equilibrium").otherwise("premium").alias("zone"))
+
+
+def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
+    """(symbol, poc, first, last, covered): the fullest bucket (lowest of equals) and the buckets around it, grown
+    towards the fuller neighbour (upwards if equal) until they hold ``share`` of the volume."""
+
+    def each(buckets: pd.DataFrame) -> pd.DataFrame:
+        v = buckets.sort_values("bucket")["volume"].to_numpy(float)
+        first = last = poc = int(v.argmax())
+        held = v[poc]
+        while held < share * v.sum() and (first > 0 or last < len(v) - 1):
+            below, above = v[first - 1] if first > 0 else -1.0, v[last + 1] if last < len(v) - 1 else -1.0
+            first, last = (first, last + 1) if above >= below else (first - 1, last)
+            held += max(above, below)
+        return pd.DataFrame([(buckets["symbol"].iloc[0], poc, first, last, held)], columns=["symbol", "poc", "first", "last", "covered"])
+
+    return profile.select("symbol", "bucket", "volume").groupBy("symbol").applyInPandas(each, "symbol string, poc int, first int, last int, covered double")
+
+
+def volume_nodes(profile: DataFrame, high: float = 1.5, low: float = 0.4) -> DataFrame:
+    """profile with node: HVN and LVN by the symbol's upper median volume (mean of the filled buckets if that is 0)."""
+    volumes = F.sort_array(F.collect_list("volume").over(Window.partitionBy("symbol")))
+    middle = F.get(volumes, F.floor(F.size(volumes) / 2).cast("int"))
+    filled = F.avg(F.when(F.col("volume") > 0, F.col("volume"))).over(Window.partitionBy("symbol"))
+    based = profile.withColumn("base", F.when(middle > 0, middle).otherwise(filled))
+    node = F.when(F.col("volume") >= high * F.col("base"), "HVN").when((F.col("volume") > 0) & (F.col("volume") <= low * F.col("base")), "LVN")
+    return based.withColumn("node", node).drop("base")
