@@ -13,7 +13,8 @@ DATA = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    for name in ("events", "embeddings"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return c
 
 

@@ -156,7 +156,7 @@ SELECT symbol, i, ROUND(sar, 6) AS psar, CASE WHEN up THEN 1.0 ELSE -1.0 END::DO
 r(symbol, poc, "first", "last", covered, total) AS (SELECT symbol, poc, poc, poc, top, total FROM a UNION ALL SELECT r.symbol, poc, CASE WHEN COALESCE(u.volume, -1) >= COALESCE(d.volume, -1) THEN "first" ELSE "first" - 1 END, CASE WHEN COALESCE(u.volume, -1) >= COALESCE(d.volume, -1) THEN "last" + 1 ELSE "last" END, covered + GREATEST(COALESCE(u.volume, -1), COALESCE(d.volume, -1)), total
 FROM r LEFT JOIN vp u ON u.symbol = r.symbol AND u.bucket = "last" + 1 LEFT JOIN vp d ON d.symbol = r.symbol AND d.bucket = "first" - 1 WHERE covered < 0.7::DOUBLE * total AND (u.volume IS NOT NULL OR d.volume IS NOT NULL))
 SELECT symbol, poc, "first", "last", covered FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY "last" - "first" DESC) = 1""",
-    "volume_nodes": _PROFILE + ", m AS (SELECT symbol, list_sort(list(volume))[COUNT(*) // 2 + 1] AS mid, AVG(volume) FILTER (volume > 0) AS mean FROM vp GROUP BY symbol), nodes AS (SELECT vp.*, CASE WHEN mid > 0 THEN mid ELSE mean END AS base FROM vp JOIN m ON m.symbol = vp.symbol) SELECT symbol, bucket, volume, CASE WHEN volume >= 1.5 * base THEN 'HVN' WHEN volume > 0 AND volume <= 0.4::DOUBLE * base THEN 'LVN' END AS node FROM n",
+    "volume_nodes": _PROFILE + ", m AS (SELECT symbol, list_sort(list(volume))[COUNT(*) // 2 + 1] AS mid, AVG(volume) FILTER (volume > 0) AS mean FROM vp GROUP BY symbol), nodes AS (SELECT vp.*, CASE WHEN mid > 0 THEN mid ELSE mean END AS base FROM vp JOIN m ON m.symbol = vp.symbol) SELECT symbol, bucket, volume, CASE WHEN volume >= 1.5 * base THEN 'HVN' WHEN volume > 0 AND volume <= 0.4::DOUBLE * base THEN 'LVN' END AS node FROM nodes",
     "regime": _SNAP + f" SELECT symbol, {', '.join(_REGIME)}, ROUND(vol_score, 6) AS vol_score, ROUND(trend_score, 6) AS trend_score, ROUND(mom_score, 6) AS mom_score FROM snap",
     "modules": _MODULES + " SELECT symbol, module, weight, ROUND(signal, 6) AS signal, ROUND(confidence, 6) AS confidence, ROUND(applied, 6) AS applied, direction FROM sig",
     "ensemble": _ENSEMBLE + " SELECT symbol, ROUND(raw_score, 6) AS raw_score, ROUND(confidence, 6) AS confidence, participating, ROUND(probability, 6) AS probability, direction FROM ensemble",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, queries
+from . import decisions, outcomes, queries
 
-QUERIES = {**queries.QUERIES, **decisions.QUERIES}
-SQL = {**queries.SQL, **decisions.SQL}
+QUERIES = {**queries.QUERIES, **decisions.QUERIES, **outcomes.QUERIES}
+SQL = {**queries.SQL, **decisions.SQL, **outcomes.SQL}
