@@ -2,7 +2,8 @@
 
 A document is the set of its distinct five-word shingles (A-Z lower-cased). Each set has REGISTERS
 registers; a shingle's hash picks one and the smallest rest there is kept as its leading-zero count and ten
-mantissa bits. Bands of ROWS registers are keys (empty registers borrow their neighbour's value there),
+mantissa bits. Bands of ROWS registers are keys (each empty register takes the value of a filled one that its
+own order of all registers names first, so small sets agree register by register as often as large ones),
 documents with a key in common are candidates, and their links are confirmed on the full sets.
 
 Documents with equal sets are one class with one representative. Candidate links of representatives give
@@ -40,6 +41,11 @@ BLOCK_SHINGLES = 1 << 20
 _REST = 40
 _MANTISSA = 10
 _EMPTY = np.uint16(65535)
+#: Up to so many filled registers the first of an order is looked up by rank, else by steps along the order.
+FEW = 18
+#: Each register's order of all registers, and each register's rank in it.
+_ORDERS = np.random.default_rng(20240915).permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
+_RANKS = _ORDERS.argsort(axis=1).astype(np.uint16)
 #: Chance that registers of unlike shingles agree: equal leading zeros (1/3), equal mantissas.
 _COLLISION = 2.0**-_MANTISSA / 3
 _U = np.uint64
@@ -79,17 +85,31 @@ def registers(rows: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
 
 
 def filled(m: np.ndarray) -> np.ndarray:
-    """m with each empty register taken from the next one that is not, in a circle; only rows without any
-    stay empty. So each register of a small set still stands for one of its shingles."""
-    n = len(m)
-    at = np.where(m != _EMPTY, np.arange(REGISTERS), 4 * REGISTERS)
-    twice = np.concatenate([at, at + REGISTERS], axis=1)
-    following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]
-    return m[np.arange(n)[:, None], following % REGISTERS]
+    """m with each empty register taken from the first filled one in that register's own fixed order of all
+    registers (optimal densification); only rows without any stay empty. The orders are independent, so a
+    shingle that only one of two sets has spoils registers here and there and no run of them."""
+    out = m.copy()
+    full = m != _EMPTY
+    count = full.sum(1)
+    for k in np.unique(count[(count > 0) & (count <= FEW)]):
+        same = np.flatnonzero(count == k)
+        for rows in np.split(same, range(512, len(same), 512)):
+            held = np.nonzero(full[rows])[1].reshape(-1, k)
+            first = _RANKS[:, held].argmin(axis=2).T
+            out[rows] = np.where(full[rows], m[rows], m[rows[:, None], np.take_along_axis(held, first, axis=1)])
+    row, register = np.nonzero(~full & (count > FEW)[:, None])
+    for step in _ORDERS.T:
+        if not len(row):
+            break
+        source = step[register]
+        got = full[row, source]
+        out[row[got], register[got]] = m[row[got], source[got]]
+        row, register = row[~got], register[~got]
+    return out
 
 
 def band_keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band. A band's registers lie far apart, so few of them share a borrowed value."""
+    """(row, key) of every band."""
     parts = filled(m).reshape(len(m), ROWS, BANDS).transpose(0, 2, 1)
     weights = R._WEIGHTS[:ROWS]
     keys = R.mix((parts.astype(_U) * weights).sum(axis=2) + np.arange(1, BANDS + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
