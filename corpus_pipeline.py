@@ -9,6 +9,9 @@ from tickloom.llm import neardup, packing, secrets, suffixes, toxicity
 from tickloom.llm.common import stored, table
 from tickloom.llm.queries import WORD_VOCABULARY
 
+#: The stage links from here on; 85 is op10's own.
+NEAR_PERCENT = 80
+
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under 0.5; the model learns from the labelled rows of docs."""
@@ -17,8 +20,8 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return neardup.dedup(docs)
+    """One document of each group of near copies: NEAR_PERCENT of the shingles of both in common."""
+    return neardup.dedup(docs, NEAR_PERCENT)
 
 
 def _suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from tickloom.llm import neardup
 
 
@@ -42,10 +43,24 @@ def near_copies(percent, lengths):
     return rows
 
 
-@pytest.mark.parametrize("percent", [85])
+@pytest.mark.parametrize("percent", [80, 85])
 def test_links_of_all_sizes(spark, percent):
     rows = near_copies(percent, [*range(5, 140), 204, 324, 404, 804])
     want = brute(rows, percent)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
     assert sum(want[d] != d for d in want) > 130
     assert got == want
+
+
+def test_pipeline_stage_drops_copies_from_80_percent_on(spark):
+    rows = near_copies(80, range(5, 240))
+    want = brute(rows, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d in want if want[d] == d)
+
+
+@pytest.mark.parametrize("percent", [10, 50, 75, 80, 85, 90, 99])
+def test_bands_miss_few(percent):
+    rows, bands = neardup.bands_for(percent)
+    assert rows * bands <= neardup.REGISTERS and (1 - (percent / 100) ** rows) ** bands <= 4e-6

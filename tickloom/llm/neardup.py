@@ -2,13 +2,13 @@
 
 A document is the set of its distinct five-word shingles (A-Z lower-cased). Each set has REGISTERS
 registers; a shingle's hash picks one and the smallest rest there is kept as its leading-zero count and ten
-mantissa bits. Bands of ROWS registers are keys (each empty register takes the value of a filled one that its
+mantissa bits. Bands of registers are keys (each empty register takes the value of a filled one that its
 own order of all registers names first, so small sets agree register by register as often as large ones),
 documents with a key in common are candidates, and their links are confirmed on the full sets.
 
 Documents with equal sets are one class with one representative. Candidate links of representatives give
-coarse clusters, which no true link is likely to leave (at 0.85 a pair shares no band with probability
-under 4e-6). Each cluster is compared inside tasks in cells of bounded size, block against block, so a
+coarse clusters, which no true link is likely to leave (bands are sized by the percentage, so that a pair at
+it shares none with probability MISSED at most where registers agree independently). Each cluster is compared inside tasks in cells of bounded size, block against block, so a
 cluster of any size is compared whole, and a cell returns no more links than connect its members. Pairs
 whose collision-corrected estimate is clearly too low are not confirmed, nor are pairs already connected.
 
@@ -32,9 +32,9 @@ from .common import NO_ID, by_batch, full_text, stored
 
 SHINGLE = 5
 PERCENT = 85
-ROWS = 8
-BANDS = 40
-REGISTERS = ROWS * BANDS
+REGISTERS = 320
+#: Chance that a pair just linked shares no band.
+MISSED = 4e-6
 #: Documents and shingles in a block of a cell, about.
 BLOCK_DOCS = 512
 BLOCK_SHINGLES = 1 << 20
@@ -108,16 +108,25 @@ def filled(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands_for(percent: int) -> tuple[int, int]:
+    """(rows, bands): the longest bands that miss a pair at percent no more often than MISSED: 8 and 40 at 85,
+    6 and 53 at 80; single registers where none are short enough."""
+    good = [r for r in range(1, REGISTERS + 1) if (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISSED]
+    r = max(good, default=1)
+    return r, REGISTERS // r
+
+
+def band_keys(m: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every band."""
-    parts = filled(m).reshape(len(m), ROWS, BANDS).transpose(0, 2, 1)
-    weights = R._WEIGHTS[:ROWS]
-    keys = R.mix((parts.astype(_U) * weights).sum(axis=2) + np.arange(1, BANDS + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
+    r, bands = bands_for(percent)
+    parts = filled(m)[:, : r * bands].reshape(len(m), r, bands).transpose(0, 2, 1)
+    weights = R._WEIGHTS[np.arange(r) % len(R._WEIGHTS)]
+    keys = R.mix((parts.astype(_U) * weights).sum(axis=2) + np.arange(1, bands + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
     row, band = np.nonzero((parts != _EMPTY).any(axis=2))
     return row, keys[row, band]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int) -> DataFrame:
     """(_id, n, s1, s2, bands): set size, a 128-bit content hash of the set and its band keys."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -131,7 +140,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 np.cumsum(R.mix(found ^ _U(salt)), out=total[1:])
                 edge = np.concatenate([[0], np.cumsum(size)])
                 sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
-            at, keys = band_keys(registers(row, found, n))
+            at, keys = band_keys(registers(row, found, n), percent)
             cut = np.searchsorted(at, np.arange(n + 1))
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], names=["_id", "n", "s1", "s2", "bands"])
@@ -204,7 +213,7 @@ def _confirmed(ids: np.ndarray, block: np.ndarray, texts: list[bytes], across: b
 
 def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(every row's _id, n and representative rep; components of representatives)"""
-    base = stored(sketches(docs))
+    base = stored(sketches(docs, percent))
     kin = ["s1", "s2", "n"]
     reps = base.where("n > 0").groupBy(*kin).agg(F.min("_id").alias("rep"))
     lead = base.join(reps, kin).where("_id = rep").select("rep", "n", "bands")
