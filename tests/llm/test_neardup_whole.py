@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tickloom.llm import neardup
+from tickloom.llm import neardup, repeats
 
 
 def brute(rows, percent):
@@ -64,3 +64,23 @@ def test_pipeline_stage_drops_copies_from_80_percent_on(spark):
 def test_bands_miss_few(percent):
     rows, bands = neardup.bands_for(percent)
     assert rows * bands <= neardup.REGISTERS and (1 - (percent / 100) ** rows) ** bands <= 4e-6
+
+
+def test_rows_without_own_id_are_linked_by_their_texts_only(spark):
+    draw = random.Random(3)
+    text = lambda: " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(30))
+    a, b, c = text(), text(), text()
+    # clean texts without id, a near copy of one of them, an id with two texts, a row twice, rows without words
+    rows = [(None, a), (None, b), (5, b + " more"), (7, c), (7, text()), (9, text()), (None, ""), (None, None), (11, a), (None, text())]
+    rows.append(rows[5])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(5, b + " more"), (7, c), rows[4], rows[5], (None, ""), (None, None), (11, a), rows[9]]
+    assert sorted(map(str, (tuple(r) for r in neardup.dedup(docs).collect()))) == sorted(map(str, want))
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()), key=str)
+    none = [(None, 11, False), (None, 5, False), (None, None, True), (None, None, True), (None, None, True)]
+    assert got == sorted([*none, (5, 5, True), (7, 7, True), (7, 7, True), (9, 9, True), (9, 9, True), (11, 11, True)], key=str)
+
+
+def test_places_of_a_repeated_row_are_listed_once(spark):
+    places = spark.createDataFrame([(1, 2, 3)] * 50 + [(1, 2, 4)], "_id long, _mark int, place long")
+    assert [sorted(r["places"]) for r in repeats._lists(places).collect()] == [[3, 4]]

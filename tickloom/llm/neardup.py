@@ -13,9 +13,10 @@ cluster of any size is compared whole, and a cell returns no more links than con
 whose collision-corrected estimate is clearly too low are not confirmed, nor are pairs already connected.
 
 Defined results: a null text or one without words has an empty set, linked with nothing; one with fewer
-than five words is one shingle. Rows that share a doc_id are one node (null ids too): what one of them is
-linked with holds for all. An empty table gives no rows. Other columns are not read by ``near_duplicates``;
-``dedup`` keeps them.
+than five words is one shingle. Rows are told apart by doc_id and a hash of the whole text, so rows that share an
+id (or have none) are linked only by their own sets; rows equal in both are the same document twice, of which
+``dedup`` keeps one row if it has words. A component is named by its smallest id, ids before rows without one.
+An empty table gives no rows. Other columns are not read by ``near_duplicates``; ``dedup`` keeps them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
@@ -127,7 +128,7 @@ def band_keys(m: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.nda
 
 
 def sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """(_id, n, s1, s2, bands): set size, a 128-bit content hash of the set and its band keys."""
+    """(_id, _mark, n, s1, s2, bands): set size, a 128-bit content hash of the set and its band keys."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in R.slices(batch):
@@ -143,9 +144,9 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
             at, keys = band_keys(registers(row, found, n), percent)
             cut = np.searchsorted(at, np.arange(n + 1))
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], names=["_id", "n", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], names=["_id", "_mark", "n", "s1", "s2", "bands"])
 
-    return by_batch(docs.select("_id", "text"), each, "_id long, n long, s1 long, s2 long, bands array<long>")
+    return by_batch(docs.select("_id", "_mark", "text"), each, "_id long, _mark long, n long, s1 long, s2 long, bands array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,53 +212,68 @@ def _confirmed(ids: np.ndarray, block: np.ndarray, texts: list[bytes], across: b
     return links
 
 
-def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(every row's _id, n and representative rep; components of representatives)"""
+def _order() -> Column:
+    """What puts the rows of a component in order: those with an id first."""
+    return F.struct((F.col("_id") == NO_ID).alias("none"), "_id", "_mark")
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """(_id, _mark, n, component, kept) of every row; component is the _id of its component's first row."""
     base = stored(sketches(docs, percent))
     kin = ["s1", "s2", "n"]
-    reps = base.where("n > 0").groupBy(*kin).agg(F.min("_id").alias("rep"))
-    lead = base.join(reps, kin).where("_id = rep").select("rep", "n", "bands")
-    keys = lead.select("rep", F.explode("bands").alias("band"))
+    firsts = base.where("n > 0").groupBy(*kin).agg(F.min(_order()).alias("first"))
+    classes = stored(firsts.select(*kin, "first", F.monotonically_increasing_id().alias("rep")))
+    own = classes.select("rep", "n", "first._id", "first._mark")
+    keys = base.select("_id", "_mark", "n", "bands").join(own, ["_id", "_mark", "n"]).select("rep", F.explode("bands").alias("band"))
     hubs = keys.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("band", "hub")
     coarse = components(keys.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    sized = coarse.join(lead.groupBy("rep").agg(F.max("n").alias("n")), coarse["id"] == F.col("rep")).select("id", "label", "n")
+    sized = coarse.join(own, coarse["id"] == F.col("rep")).select("rep", "label", "n", "_id", "_mark")
     blocks = sized.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = coarse.join(blocks, "label").select(F.col("id").alias("_id"), "label", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "blocks")
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("_id", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    placed = sized.join(blocks, "label").select("rep", "_id", "_mark", "label", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "blocks")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "_id", "_mark", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
     def compare(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
         across = cell["one"][0].as_py() != cell["two"][0].as_py()
-        links = _confirmed(cell["_id"].to_numpy(), cell["block"].to_numpy(), [t.as_py() for t in cell["text"].cast(pa.large_binary())], across, percent)
+        links = _confirmed(cell["rep"].to_numpy(), cell["block"].to_numpy(), [t.as_py() for t in cell["text"].cast(pa.large_binary())], across, percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    cells = docs.select("_id", "text").join(placed.hint("shuffle_hash"), "_id").select("_id", "text", "label", "block", "one", "two")
+    cells = docs.select("_id", "_mark", "text").join(placed.hint("shuffle_hash"), ["_id", "_mark"]).select("rep", "text", "label", "block", "one", "two")
+    if _repeats(base):
+        cells = cells.dropDuplicates(["rep", "label", "one", "two"])
     final = components(cells.groupBy("label", "one", "two").applyInArrow(compare, "a long, b long"))
-    rows = base.select("_id", *kin).join(reps, kin, "left").select("_id", "n", F.coalesce("rep", "_id").alias("rep"))
-    return rows, final
+    heads = final.join(classes, final["id"] == F.col("rep")).groupBy("label").agg(F.min("first").alias("head"))
+    named = classes.join(final.join(heads, "label").select(F.col("id").alias("rep"), "head"), "rep", "left").select(*kin, F.coalesce("head", "first").alias("head"))
+    rows = base.select("_id", "_mark", *kin).join(named, kin, "left").withColumn("head", F.coalesce("head", _order()))
+    return rows.select("_id", "_mark", "n", F.col("head._id").alias("component"), (F.col("head") == _order()).alias("kept"))
 
 
-def _labelled(docs: DataFrame, percent: int) -> DataFrame:
-    """(_id, n, component) of every row."""
-    rows, final = _classes(docs, percent)
-    return rows.join(final, rows["rep"] == final["id"], "left").select("_id", "n", F.coalesce("label", "rep").alias("component"))
+def _repeats(rows: DataFrame) -> bool:
+    """Whether rows of the same doc_id and text, with words, are there more than once."""
+    return not rows.where("n > 0").groupBy("_id", "_mark").count().where("count > 1").isEmpty()
+
+
+def _mark() -> Column:
+    return F.xxhash64(full_text()).alias("_mark")
 
 
 def _own(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), full_text().alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), _mark(), full_text().alias("text"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links where 100 * intersection >= percent * union."""
     none = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     found = _labelled(_own(docs), percent)
-    return found.select(none("_id").alias("doc_id"), F.col("n").alias("n_shingles"), none("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))
+    return found.select(none("_id").alias("doc_id"), F.col("n").alias("n_shingles"), none("component").alias("component_id"), "kept")
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id."""
+    """docs with one document of each component, the first, and all rows without words."""
     found = stored(_labelled(_own(docs), percent))
-    first = found.groupBy("_id").agg(F.min("component").alias("component"), F.count("*").alias("rows"))
-    first = first.where("_id = component").select("_id")
-    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(first.hint("shuffle_hash"), "_id", "left_semi").drop("_id")
-    return kept if found.groupBy("_id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    first = found.where("kept").select("_id", "_mark", F.col("n").alias("_n")).distinct()
+    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_mark", _mark())
+    kept = marked.join(first.hint("shuffle_hash"), ["_id", "_mark"])
+    if _repeats(found):
+        kept = kept.where("_n = 0").union(kept.where("_n > 0").dropDuplicates(["_id", "_mark"]))
+    return kept.select(*docs.columns)

@@ -106,7 +106,8 @@ def _finer(docs: DataFrame, places: DataFrame, w: Windows, block: int) -> DataFr
 
 
 def _lists(places: DataFrame) -> DataFrame:
-    return places.groupBy("_id", "_mark").agg(F.collect_list("place").alias("places"))
+    # a set: rows repeated whole bring the same places each
+    return places.groupBy("_id", "_mark").agg(F.collect_set("place").alias("places"))
 
 
 def _repeated_keys(rows: DataFrame) -> DataFrame:
