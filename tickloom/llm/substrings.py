@@ -1,9 +1,7 @@
-"""Substring dedup over words, by a compacted de Bruijn graph.
+"""Substring dedup over words, by graded anchor grams (see ``repeats``).
 
-Nodes are the word k-mers that windows own, edges what stands on either side of them. A node whose every
-occurrence has the same edges lies on a nonbranching path: the path compacts, and all windows on it are
-known to repeat (or, if the node stands once, not to) from one row for each node. Only windows around
-branching nodes are looked up by their full content, at their source coordinates. See ``repeats``.
+The dealt method, a compacted de Bruijn graph, is not built: there is no table of edges and no path. Windows
+count as equal by a 64-bit hash of their words.
 
 Defined results: a null or empty text has no words; a text shorter than the window keeps all words; rows
 that repeat a document count as further places, so their windows repeat; other columns are not read.

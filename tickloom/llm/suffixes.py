@@ -1,10 +1,7 @@
-"""Substring dedup over bytes, by a depth-limited radix sort of suffixes.
+"""Substring dedup over bytes, by graded anchor grams (see ``repeats``).
 
-Suffixes are ordered through their first 200 bytes only, most significant part first. The first pass deals
-them by a part of their content that any equal 200 bytes share (a gram that the bytes themselves choose),
-the second by all but the last bytes of blocks of them, the third by all 200 bytes; after each pass groups
-of one suffix leave, as do groups whose surroundings show them equal to full depth. What meets at full
-depth are exactly the repeated windows. See ``repeats``.
+The dealt method, a depth-limited radix sort of suffixes, is not built: no suffix is ordered by its leading
+bytes. Windows count as equal by a 64-bit hash of their 200 bytes.
 
 Defined results: a null or empty text has no bytes; a text shorter than the window keeps all bytes; rows
 that repeat a document count as further places; other columns are not read by ``dedup_bytes``. ``strip``
