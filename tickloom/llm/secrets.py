@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and tokens that a character Markov model finds random.
 
 Two second-order models over character classes are trained from labelled samples: random strings (seeded
-draws from the alphabets that keys are written in) and ordinary identifiers (words of a bounded sample of
-the documents, outside the patterns' finds, and their snake_case and camelCase joins). A candidate is a run
-of MIN_LENGTH or more characters that keys are written in; it is a find if its mean log-likelihood ratio
-per character is above THRESHOLD and it mixes letters with digits, as keys do.
+draws from the alphabets that keys are written in) and ordinary identifiers (runs of the characters that keys
+are written in from a bounded sample of the documents, outside the patterns' finds, their snake_case,
+camelCase, dashed and path joins, and joins with seeded dates and numbers). A candidate is a run of MIN_LENGTH
+or more such characters; it is a find if its mean log-likelihood ratio per character is above THRESHOLD.
 
 Defined results: a null or empty text has no finds; repeated rows are scanned each by itself; an empty
 table gives no rows (and a model of random strings against nothing, which is not used); other columns are
@@ -36,6 +36,7 @@ THRESHOLD = 0.6
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 _NAMES = ("passw", "secret", "token", "api")
 _ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", "0123456789abcdef", string.ascii_uppercase + string.digits)
@@ -79,12 +80,24 @@ def random_samples(n: int = SAMPLE_RANDOM, seed: int = 7) -> list[str]:
 
 
 def identifiers(text: str, most: int = SAMPLE_WORDS) -> list[str]:
-    """Ordinary identifiers of a text: its first distinct words outside finds, alone and joined."""
+    """Ordinary identifiers of a text: its first distinct runs outside finds, alone and joined, also with
+    dates and numbers drawn by the runs themselves, and rules and numerals."""
     for a, _, b in reversed(base_finds(text)):
         text = text[:a] + " " + text[b:]
-    words = list(dict.fromkeys(w for w in re.findall(r"[A-Za-z]+", text)))[:most]
-    pairs = list(zip(words[::2], words[1::2], strict=False))
-    return words + [f"{a}_{b}" for a, b in pairs[:20]] + [a + b.capitalize() for a, b in pairs[20:40]] + [f"{a}-{b}" for a, b in pairs[40:60]] + [f"{a}/{b}" for a, b in pairs[60:80]]
+    # runs as long as candidates may be keys themselves, so they teach nothing; the joins stand for them
+    runs = list(dict.fromkeys(r for r in RUN.findall(text) if len(r) < MIN_LENGTH))[:most]
+    pairs = list(zip(runs[::2], runs[1::2], strict=False))
+    joined = [f"{a}_{b}" for a, b in pairs[:20]] + [a + b.capitalize() for a, b in pairs[20:40]] + [f"{a}-{b}" for a, b in pairs[40:60]] + [f"{a}/{b}" for a, b in pairs[60:80]]
+    draw = random.Random(" ".join(runs[:20]))
+    words = [w for w in runs if w.isalpha()]
+    for _ in range(20 if words else 0):
+        a, b, c = draw.choices(words, k=3)
+        date = [str(draw.randint(1990, 2035)), f"{draw.randint(1, 12):02}", f"{draw.randint(1, 28):02}"]
+        n = str(draw.randint(0, draw.choice((9, 99, 999))))
+        joined.append(draw.choice("-_/").join(draw.choice(([a, b, *date], [a, *date, b], [*date, a, b], [a, b, c, date[0]], [a + n, b, c], [a + n, b + str(draw.randint(1, 9)), c]))))
+    if words:
+        joined += [draw.choice("-_=+/") * MIN_LENGTH, str(draw.randrange(10**19, 10**20))]
+    return runs + joined
 
 
 def _likelihood(counts: np.ndarray) -> np.ndarray:
@@ -118,8 +131,6 @@ def markov_finds(text: str, table: np.ndarray, base: list[tuple[int, int, int]],
     found = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if s.isalpha() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
         if any(a < m.end() and m.start() < b for a, _, b in base):
             continue
         code = _CODE[np.frombuffer(("\x00" + s).encode("ascii"), dtype=np.uint8)]
