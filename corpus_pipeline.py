@@ -16,7 +16,7 @@ NEAR_PERCENT = 80
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under 0.5; the model learns from the labelled rows of docs."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.score(docs, toxicity.train(docs, labels)).where("score < 0.5").select(*docs.columns)
+    return toxicity.accepted(docs, toxicity.train(docs, labels))
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

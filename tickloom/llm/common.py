@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id in join keys.
-NO_ID = -(1 << 63)
+#: Rows of one key from which on a join deals them to several tasks, whatever the table's size.
+SPREAD_ROWS = 200
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,30 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def full_text() -> Column:
     """The whole text; a null text is empty."""
-    return F.coalesce(F.col("text"), F.lit(""))
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(_id, _mark, text): what tells a document from every other in joins.
-
-    _mark is a short hash of the text, so rows that repeat a doc_id with another text stay apart; rows
-    equal in both are the same document twice and share what is found for either."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.pmod(F.xxhash64(full_text()), F.lit(32768)).cast("int").alias("_mark"), full_text().alias("text"))
+def content(text: Column | None = None) -> dict[str, Column]:
+    """k1 and k2: 128 bits that tell whole texts apart, whatever ids their rows have."""
+    text = full_text() if text is None else text
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("second"), text)}
 
 
 def doc_id() -> Column:
-    """doc_id again from _id."""
-    return F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id")
+    return F.col("doc_id").cast("long").alias("doc_id")
 
 
-def sampled(df: DataFrame, rows: int, *columns: str) -> DataFrame:
-    """About ``rows`` rows of df, or all if it has no more: those whose hash of ``columns`` is smallest. Each
-    partition keeps its own share, so nothing is shuffled."""
+def sampled(df: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows of df, or all if it has no more: those whose hash of doc_id (and text, where there is
+    one) is smallest. Each partition keeps its own share, so nothing is shuffled."""
     n = df.count()
-    return df if n <= rows else df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < int((1 << 40) * rows / n))
+    drawn = F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in df.columns)), F.lit(1 << 40))
+    return df if n <= rows else df.where(drawn < int((1 << 40) * rows / n))
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """f over each Arrow batch; f may give any number of batches."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,27 +53,72 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatc
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors and the driver share. Only where the session
-    names none (tests) is one set."""
+    """The folder of spark.checkpoint.dir, which all executors and the driver share. Only a local session
+    (tests) may go without one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"/tmp/tickloom-checkpoints-{uuid.uuid4().hex[:8]}")
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or f"/tmp/tickloom-checkpoints-{uuid.uuid4().hex[:8]}")
     return context.getCheckpointDir()
 
 
+class Scratch:
+    """Tables of one operator's run, written once in the shared folder and read back: lineage ends there, and
+    a lost executor costs no more than the stage at work. ``drop`` deletes a table that nothing reads any
+    more; what the result itself reads stays for as long as the folder does."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df written and read back; the files that its shuffles left go as soon as it is written."""
+        path = f"{self.folder}/table-{len(self.paths)}"
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (path, kept)
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path, _ = self.paths[id(t)]
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared folder and read back: its lineage ends there, and what the
-    stages before it shuffled can go."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    """df as the only table of a run of its own."""
+    return Scratch(df.sparkSession).keep(df)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """df computed once and kept as a checkpoint in the shared folder; for small tables."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """big joined with small (each key once) on ``on``, hot keys of big dealt to several tasks.
+
+    Keys with more rows than a quarter of a mean partition (SPREAD_ROWS at least) are hot; there are at
+    most four for each partition, so they fit a broadcast at any size. A hot key's row of small is repeated
+    once for each share. counts: ``on`` and n, the rows of big for each key (or more), where known. big is a table
+    that has been read, so that its rows are numbered alike whenever a task runs again."""
+    spark = big.sparkSession
+    counts = big.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(SPREAD_ROWS, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_shares"))
+    rows = hot.collect()  # four for each partition at most
+    if not rows:
+        return big.join(small, on, how)
+    hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
+    dealt = big.withColumn("_n", F.monotonically_increasing_id()).join(hot, on, "left").withColumn("_share", F.pmod(F.xxhash64("_n"), F.coalesce("_shares", F.lit(1))).cast("int"))
+    copied = small.join(hot, on, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    return dealt.drop("_n", "_shares").join(copied, [*on, "_share"], how).drop("_share")

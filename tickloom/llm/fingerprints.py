@@ -6,8 +6,9 @@ Two texts that share a run of GRAM + WINDOW - 1 words therefore share a fingerpr
 
 Defined results: a null text is empty; an empty text has the empty fingerprint; a text of fewer than GRAM
 words has one gram of all its words; one of fewer grams than WINDOW keeps its smallest gram. Other columns
-of the input are not read. Rows equal in doc_id and text are one place in the order of documents; a null
-doc_id comes after all others.
+of the input are not read. Documents are told apart by doc_id and 128 bits of their text: rows equal in both are
+one place in the order of documents, unlike texts of one id (or of none) follow one another in an order of
+their content; a null doc_id comes after all others.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_id, keyed, settle
+from .common import content, full_text, settle, spread_join
 
+#: Stands for a null doc_id in join keys.
+NO_ID = -(1 << 63)
+#: What tells a document from every other: its id and 128 bits of its text.
+OWN = ["_id", "k1", "k2"]
 GRAM = 5
 WINDOW = 12
 _PRIME = (1 << 31) - 1
@@ -105,24 +110,29 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), share)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """OWN and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), full_text().alias("text")).withColumns(content(F.col("text")))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(_id, _mark, to_id, to_mark, need): for each document the one that it follows, going down in doc_id
-    (the largest follows the smallest), and a third of that one's length.
+    """(_id, k1, k2, to, need, n): for each document the one that it follows, going down in doc_id (the largest
+    follows the smallest), a third of that one's length, and how many rows are this document.
 
     Ids alone are range-partitioned; a row that begins a partition takes its forerunner from a table of
     one row for each partition. Nothing else meets in one place."""
-    order = [F.col("_id").desc(), F.col("_mark")]
+    order = [F.col("_id").desc(), F.col("k1"), F.col("k2")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.groupBy("_id", "_mark").agg(F.max(F.char_length("text")).alias("n"), F.count("*").alias("copies")).repartitionByRange(parts, *order)
+    ids = docs.groupBy(*OWN).agg(F.max(F.char_length("text")).alias("chars"), F.count("*").alias("n")).repartitionByRange(parts, *order)
     ids = settle(ids.withColumn("part", F.spark_partition_id()))
-    me = F.struct("_id", "_mark", "n")
+    me = F.struct(*OWN, "chars")
     before = F.lag(me).over(Window.partitionBy("part").orderBy(*order))
-    edges = ids.groupBy("part").agg(F.max_by(me, F.struct(-F.col("_id").cast("decimal(20,0)"), F.col("_mark"))).alias("last"))
+    edges = ids.groupBy("part").agg(F.max_by(me, F.struct(-F.col("_id").cast("decimal(20,0)"), F.col("k1"), F.col("k2"))).alias("last"))
     along = Window.orderBy("part")
     whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = edges.select("part", F.coalesce(F.lag("last").over(along), F.last("last").over(whole)).alias("edge"))
     found = ids.withColumn("before", before).join(F.broadcast(edges), "part").withColumn("before", F.coalesce("before", "edge"))
-    return found.select("_id", "_mark", F.col("before._id").alias("to_id"), F.col("before._mark").alias("to_mark"), F.floor(F.col("before.n") / 3).cast("int").alias("need"), "copies")
+    return found.select(*OWN, F.struct("before._id", "before.k1", "before.k2").alias("to"), F.floor(F.col("before.chars") / 3).cast("int").alias("need"), "n")
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -131,15 +141,19 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     edited_fingerprint, near_edited, near_next."""
     own = keyed(docs).withColumn("kept", winnow(F.col("text"), gram, window))
     order = neighbours(keyed(docs))
-    heads = own.join(order.hint("shuffle_hash"), ["_id", "_mark"]).select(F.col("to_id").alias("_id"), F.col("to_mark").alias("_mark"), F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(F.col("kept")).alias("next_hashes"))
-    if not order.where("copies > 1").isEmpty():
-        heads = heads.dropDuplicates(["_id", "_mark"])
+    repeats = not order.where("n > 1").isEmpty()
+    # rows of one document more than once may be many, so they are dealt to several tasks
+    joined = (lambda a, b: spread_join(a, b, OWN, order)) if repeats else (lambda a, b: a.join(b.hint("shuffle_hash"), OWN))
+    heads = joined(own, order.select(*OWN, "to", "need"))
+    heads = heads.select(F.col("to._id").alias("_id"), F.col("to.k1").alias("k1"), F.col("to.k2").alias("k2"), F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(F.col("kept")).alias("next_hashes"))
+    if repeats:
+        heads = heads.dropDuplicates(OWN)
     n = F.char_length("text")
-    both = own.join(heads.hint("shuffle_hash"), ["_id", "_mark"]).withColumn("n_chars", n.cast("long"))
+    both = joined(own, heads).withColumn("n_chars", n.cast("long"))
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("head")))
     both = both.select("_id", "n_chars", "kept", "next_hashes", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnow(F.col("edited"), gram, window).alias("edited_kept"))
     both = both.withColumns({"own_hashes": hashes(F.col("kept")), "edited_hashes": hashes(F.col("edited_kept"))})
     return both.select(
-        doc_id(), "n_chars", "edited_sha256", as_string(F.col("kept")).alias("fingerprint"), as_string(F.col("edited_kept")).alias("edited_fingerprint"),
+        F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id"), "n_chars", "edited_sha256", as_string(F.col("kept")).alias("fingerprint"), as_string(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("own_hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("own_hashes"), F.col("next_hashes")).alias("near_next"),
     )

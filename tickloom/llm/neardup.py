@@ -3,20 +3,23 @@
 A document is the set of its distinct five-word shingles (A-Z lower-cased). Each set has REGISTERS
 registers; a shingle's hash picks one and the smallest rest there is kept as its leading-zero count and ten
 mantissa bits. Bands of registers are keys (each empty register takes the value of a filled one that its
-own order of all registers names first, so small sets agree register by register as often as large ones),
-documents with a key in common are candidates, and their links are confirmed on the full sets.
-
-Documents with equal sets are one class with one representative. Candidate links of representatives give
-coarse clusters, which no true link is likely to leave (bands are sized by the percentage, so that a pair at
-it shares none with probability MISSED at most where registers agree independently). Each cluster is compared inside tasks in cells of bounded size, block against block, so a
-cluster of any size is compared whole, and a cell returns no more links than connect its members. Pairs
-whose collision-corrected estimate is clearly too low are not confirmed, nor are pairs already connected.
+own order of all registers names first, so small sets agree register by register as often as large ones). Bands are
+sized by the percentage, so that a pair at it shares none with probability MISSED at most where registers
+agree independently.
+
+Equal texts are one text, equal sets one set, whatever ids their rows have. Only sets that share a band are
+compared. First each set with its bands' hubs, the smallest set of a band: registers before texts, by the
+collision-corrected estimate, and texts only for pairs whose estimate is not clearly too low. What is linked
+so far makes components; most bands then hold one component and are done. In every other band the sets of unlike
+components are compared by their registers in cells of bounded size, block against block, so a band of any size
+is compared whole, and the pairs that pass are confirmed on the full sets too. Sets linked with a hub are
+never compared with one another.
 
 Defined results: a null text or one without words has an empty set, linked with nothing; one with fewer
-than five words is one shingle. Rows are told apart by doc_id and a hash of the whole text, so rows that share an
-id (or have none) are linked only by their own sets; rows equal in both are the same document twice, of which
-``dedup`` keeps one row if it has words. A component is named by its smallest id, ids before rows without one.
-An empty table gives no rows. Other columns are not read by ``near_duplicates``; ``dedup`` keeps them.
+than five words is one shingle. A component is named by its smallest id; rows without an id never name one, and
+where no row has an id the name is null. ``kept`` is whether a row's id is that name; in a component without ids, whether it
+has the component's first text by content hash. ``dedup`` keeps one row of each component (smallest id, then content) and all rows
+without words. An empty table gives no rows. Other columns are not read by ``near_duplicates``; ``dedup`` keeps them.
 """
 
 from __future__ import annotations
@@ -25,20 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import NO_ID, by_batch, full_text, stored
+from .common import Scratch, by_batch, content, doc_id, spread_join
+from .repeats import distinct_texts, given_to_rows
 
 SHINGLE = 5
 PERCENT = 85
 REGISTERS = 320
 #: Chance that a pair just linked shares no band.
 MISSED = 4e-6
-#: Documents and shingles in a block of a cell, about.
-BLOCK_DOCS = 512
-BLOCK_SHINGLES = 1 << 20
+#: Sets of a band in a block of a cell, about; and partners of a set that are compared with it in one task.
+BLOCK = 256
+PARTNERS = 64
 _REST = 40
 _MANTISSA = 10
 _EMPTY = np.uint16(65535)
@@ -127,8 +131,8 @@ def band_keys(m: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.nda
     return row, keys[row, band]
 
 
-def sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """(_id, _mark, n, s1, s2, bands): set size, a 128-bit content hash of the set and its band keys."""
+def sketches(texts: DataFrame, percent: int) -> DataFrame:
+    """(rid, size, s1, s2, bands, registers): set size, a 128-bit content hash of the set, its band keys and registers."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in R.slices(batch):
@@ -141,139 +145,184 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
                 np.cumsum(R.mix(found ^ _U(salt)), out=total[1:])
                 edge = np.concatenate([[0], np.cumsum(size)])
                 sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
-            at, keys = band_keys(registers(row, found, n), percent)
+            m = registers(row, found, n)
+            at, keys = band_keys(m, percent)
             cut = np.searchsorted(at, np.arange(n + 1))
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], names=["_id", "_mark", "n", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists, pa.array([x.tobytes() for x in m], pa.binary())], names=["rid", "size", "s1", "s2", "bands", "registers"])
 
-    return by_batch(docs.select("_id", "_mark", "text"), each, "_id long, _mark long, n long, s1 long, s2 long, bands array<long>")
+    return by_batch(texts.select("rid", "text"), each, "rid long, size long, s1 long, s2 long, bands array<long>, registers binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, label): the smallest id that each linked id can reach, by alternating star contraction. Links: a, b."""
-    pairs = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    pairs = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     print_of = lambda p: tuple(p.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = print_of(pairs)
     while seen[0]:
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stored(small.union(least).distinct())
-        now = print_of(pairs)
+        of = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = of.select("u", F.least("u", "m").alias("m"))
+        large = scratch.keep(spread_join(both, least, ["u"], of).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        of = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = of.select("u", "m")
+        small = spread_join(large, least, ["u"], of).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = scratch.keep(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        scratch.drop(pairs, large)
+        pairs, now = after, print_of(after)
         if now == seen:
             break
         seen = now
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("label")).union(pairs.select("v", "v").distinct())
 
 
-def _confirmed(ids: np.ndarray, block: np.ndarray, texts: list[bytes], across: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked in one cell; across: only between its two blocks."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    n = len(texts)
-    row, found = shingles(data, offsets)
-    edge = np.searchsorted(row, np.arange(n + 1))
-    size = np.diff(edge)
-    m = registers(row, found, n)
+def estimates(m: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard estimate of each row of registers with ``one``, and the registers it rests on."""
     full = m != _EMPTY
+    either = (full | (one != _EMPTY)).sum(1)
+    agree = ((m == one) & full).sum(1)
+    return (agree / np.maximum(either, 1) - _COLLISION) / (1 - _COLLISION), either
+
+
+def plausible(m: np.ndarray, size: np.ndarray, one: np.ndarray, own: int, percent: int) -> np.ndarray:
+    """Which sets may be linked with one: sizes allow it and the estimate is not five deviations too low."""
     share = percent / 100
-    candidates = []
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        if across:
-            j = j[block[j] != block[i]]
-        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        j = j[(100 * low >= percent * high) & (low > 0)]
-        if not len(j):
-            continue
-        either = (full[j] | full[i]).sum(1)
-        agree = ((m[j] == m[i]) & full[i]).sum(1)
-        estimate = (agree / either - _COLLISION) / (1 - _COLLISION)
-        ok = estimate >= share - 5 * np.sqrt(share * (1 - share) / either)
-        candidates += zip((-estimate[ok]).tolist(), [i] * int(ok.sum()), j[ok].tolist(), strict=True)
-    root = list(range(n))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    links = []
-    for _, i, j in sorted(candidates):
-        a, b = top(i), top(j)
-        if a != b:
-            both = len(np.intersect1d(found[edge[i] : edge[i + 1]], found[edge[j] : edge[j + 1]], assume_unique=True))
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                root[max(a, b)] = min(a, b)
-                links.append((int(ids[i]), int(ids[j])))
-    return links
-
-
-def _order() -> Column:
-    """What puts the rows of a component in order: those with an id first."""
-    return F.struct((F.col("_id") == NO_ID).alias("none"), "_id", "_mark")
-
-
-def _labelled(docs: DataFrame, percent: int) -> DataFrame:
-    """(_id, _mark, n, component, kept) of every row; component is the _id of its component's first row."""
-    base = stored(sketches(docs, percent))
-    kin = ["s1", "s2", "n"]
-    firsts = base.where("n > 0").groupBy(*kin).agg(F.min(_order()).alias("first"))
-    classes = stored(firsts.select(*kin, "first", F.monotonically_increasing_id().alias("rep")))
-    own = classes.select("rep", "n", "first._id", "first._mark")
-    keys = base.select("_id", "_mark", "n", "bands").join(own, ["_id", "_mark", "n"]).select("rep", F.explode("bands").alias("band"))
-    hubs = keys.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("band", "hub")
-    coarse = components(keys.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    sized = coarse.join(own, coarse["id"] == F.col("rep")).select("rep", "label", "n", "_id", "_mark")
-    blocks = sized.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "label").select("rep", "_id", "_mark", "label", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "blocks")
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "_id", "_mark", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-
-    def compare(cell: pa.Table) -> pa.Table:
+    sized = (100 * np.minimum(size, own) >= percent * np.maximum(size, own)) & (np.minimum(size, own) > 0)
+    estimate, either = estimates(m, one)
+    return sized & (estimate >= share - 5 * np.sqrt(share * (1 - share) / np.maximum(either, 1)))
+
+
+def _stars(pairs: DataFrame, payload: DataFrame, judge, scratch: Scratch) -> DataFrame:
+    """(a, b) of the pairs (a kept table) that judge accepts. payload: rid and what is compared; a's partners come in cells
+    of about PARTNERS. judge(rows of a cell, a's own row first): mask of the others."""
+    of = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    shared = spread_join(pairs, of.select("a", F.ceil(F.col("n") / PARTNERS).alias("cells")), ["a"], of)
+    shared = shared.select("a", F.pmod(F.xxhash64("b"), "cells").alias("cell"), F.col("b").alias("rid"))
+    rows = scratch.keep(shared.union(shared.select("a", "cell", F.col("a").alias("rid")).distinct()))
+    names = [c for c in payload.columns if c != "rid"]
+
+    def each(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
-        across = cell["one"][0].as_py() != cell["two"][0].as_py()
-        links = _confirmed(cell["rep"].to_numpy(), cell["block"].to_numpy(), [t.as_py() for t in cell["text"].cast(pa.large_binary())], across, percent)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        rid, a = cell["rid"].to_numpy(), cell["a"][0].as_py()
+        order = np.argsort(rid != a, kind="stable")
+        cell, rid = cell.take(pa.array(order)), rid[order]
+        partners = rid[1:][judge(cell)]
+        return pa.table({"a": pa.array(np.full(len(partners), a), pa.int64()), "b": pa.array(partners, pa.int64())})
 
-    cells = docs.select("_id", "_mark", "text").join(placed.hint("shuffle_hash"), ["_id", "_mark"]).select("rep", "text", "label", "block", "one", "two")
-    if _repeats(base):
-        cells = cells.dropDuplicates(["rep", "label", "one", "two"])
-    final = components(cells.groupBy("label", "one", "two").applyInArrow(compare, "a long, b long"))
-    heads = final.join(classes, final["id"] == F.col("rep")).groupBy("label").agg(F.min("first").alias("head"))
-    named = classes.join(final.join(heads, "label").select(F.col("id").alias("rep"), "head"), "rep", "left").select(*kin, F.coalesce("head", "first").alias("head"))
-    rows = base.select("_id", "_mark", *kin).join(named, kin, "left").withColumn("head", F.coalesce("head", _order()))
-    return rows.select("_id", "_mark", "n", F.col("head._id").alias("component"), (F.col("head") == _order()).alias("kept"))
+    cells = spread_join(rows, payload, ["rid"]).select("a", "cell", "rid", *names)
+    return cells.groupBy("a", "cell").applyInArrow(each, "a long, b long")
 
 
-def _repeats(rows: DataFrame) -> bool:
-    """Whether rows of the same doc_id and text, with words, are there more than once."""
-    return not rows.where("n > 0").groupBy("_id", "_mark").count().where("count > 1").isEmpty()
+def _registers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), dtype=np.uint16).reshape(-1, REGISTERS)
 
 
-def _mark() -> Column:
-    return F.xxhash64(full_text()).alias("_mark")
+def linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of the pairs (a kept table) whose full sets are alike enough: registers first, then texts."""
 
+    def alike(cell: pa.Table) -> np.ndarray:
+        m, size = _registers(cell["registers"]), cell["size"].to_numpy()
+        return plausible(m[1:], size[1:], m[0], int(size[0]), percent)
 
-def _own(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), _mark(), full_text().alias("text"))
+    def equal(cell: pa.Table) -> np.ndarray:
+        raw = [t.as_py() for t in cell["text"].cast(pa.large_binary())]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+        row, found = shingles(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
+        edge = np.searchsorted(row, np.arange(len(raw) + 1))
+        own = found[: edge[1]]
+        if not len(own):
+            return np.zeros(len(raw) - 1, dtype=bool)
+        at = np.minimum(np.searchsorted(own, found[edge[1] :]), len(own) - 1)
+        sums = np.concatenate([[0], np.cumsum(own[at] == found[edge[1] :])])
+        both = sums[edge[2:] - edge[1]] - sums[edge[1:-1] - edge[1]]
+        return 100 * both >= percent * (len(own) + np.diff(edge)[1:] - both)
+
+    near = scratch.keep(_stars(pairs, sets.select("rid", "size", "registers"), alike, scratch))
+    return scratch.keep(_stars(near, texts.select("rid", "text"), equal, scratch))
+
+
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): plausible pairs of unlike components within a band. members: a kept table of band, rid, component, size, registers."""
+    sized = members.groupBy("band").agg(F.count("*").alias("n"))
+    blocks = sized.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = spread_join(members, blocks, ["band"], sized).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rid", "component", "size", "registers")
+
+    def each(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        m, size, rid, of, block = _registers(cell["registers"]), *(cell[c].to_numpy() for c in ("size", "rid", "component", "block"))
+        within = cell["one"][0].as_py() == cell["two"][0].as_py()
+        a, b = [], []
+        for i in range(len(rid)):
+            j = np.flatnonzero((rid > rid[i]) & (of != of[i]) & (within | (block != block[i])))
+            if len(j):
+                j = j[plausible(m[j], size[j], m[i], int(size[i]), percent)]
+                a += [rid[i]] * len(j)
+                b += rid[j].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed.groupBy("band", "one", "two").applyInArrow(each, "a long, b long").distinct()
+
+
+def links(sets: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links that connect all sets which are linked. sets: a kept table of one row for each set."""
+    keys = scratch.keep(sets.select("rid", F.explode("bands").alias("band")))
+    hubs = scratch.keep(keys.groupBy("band").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    met = scratch.keep(spread_join(keys, hubs.select("band", "hub", F.col("n").alias("of")), ["band"], hubs).where("rid <> hub"))
+    scratch.drop(keys)
+    stars = scratch.keep(met.select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct())
+    first = linked(stars, sets, texts, percent, scratch)
+    label = scratch.keep(components(first, scratch))
+    # what is left of bands with three sets or more: those whose sets besides the hub are not all connected
+    rest = met.where("of > 2").join(label.withColumnRenamed("id", "rid"), "rid", "left").select("band", "rid", F.coalesce("label", "rid").alias("component"))
+    rest = scratch.keep(rest)
+    mixed = rest.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    members = scratch.keep(spread_join(rest, mixed.select("band"), ["band"], rest.groupBy("band").agg(F.count("*").alias("n"))))
+    members = scratch.keep(spread_join(members, sets.select("rid", "size", "registers"), ["rid"]))
+    more = scratch.keep(across(members, percent))
+    return first if more.isEmpty() else first.union(linked(more, sets, texts, percent, scratch))
+
+
+def labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(texts, (k1, k2, n, head)) of every distinct text; head is its component's first row: none, id, k1, k2."""
+    scratch = Scratch(docs.sparkSession)
+    texts = distinct_texts(docs, scratch)
+    drawn = scratch.keep(sketches(texts, percent))
+    kin = ["s1", "s2", "size"]
+    of = scratch.keep(drawn.where("size > 0").groupBy(*kin).agg(F.min("rid").alias("set")))
+    member = scratch.keep(spread_join(drawn.select("rid", *kin), of.select(*kin, "set"), kin))
+    sets = scratch.keep(drawn.join(of.select(F.col("set").alias("rid")), "rid"))
+    scratch.drop(drawn)
+    label = components(links(sets, texts, percent, scratch), scratch)
+    named = member.select("rid", "size", "set").join(label.withColumnRenamed("id", "set"), "set", "left").select("rid", "size", F.coalesce("label", "set").alias("component"))
+    row = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "k1", "k2")
+    own = scratch.keep(texts.select("rid", "k1", "k2", row.alias("me")).join(named, "rid"))
+    heads = own.groupBy("component").agg(F.min("me").alias("head"), F.count("*").alias("n"))
+    found = spread_join(own, heads.select("component", "head"), ["component"], heads)
+    return texts, scratch.keep(found.select("k1", "k2", F.col("size").alias("n_shingles"), "head"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links where 100 * intersection >= percent * union."""
-    none = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    found = _labelled(_own(docs), percent)
-    return found.select(none("_id").alias("doc_id"), F.col("n").alias("n_shingles"), none("component").alias("component_id"), "kept")
+    texts, found = labelled(docs, percent)
+    found = found.select("k1", "k2", "n_shingles", F.col("head.id").alias("component_id"), F.col("head.none").alias("nameless"), ((F.col("head.k1") == F.col("k1")) & (F.col("head.k2") == F.col("k2"))).alias("leads"))
+    rows = given_to_rows(docs, texts, found, {"n_shingles": 0}, {"doc_id": doc_id()})
+    named = F.when(F.col("nameless").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))  # no words: itself
+    kept = F.when(F.col("nameless"), F.col("leads")).otherwise(F.coalesce(F.col("doc_id") == named, F.col("nameless").isNull()))
+    return rows.select("doc_id", "n_shingles", named.alias("component_id"), kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, the first, and all rows without words."""
-    found = stored(_labelled(_own(docs), percent))
-    first = found.where("kept").select("_id", "_mark", F.col("n").alias("_n")).distinct()
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_mark", _mark())
-    kept = marked.join(first.hint("shuffle_hash"), ["_id", "_mark"])
-    if _repeats(found):
-        kept = kept.where("_n = 0").union(kept.where("_n > 0").dropDuplicates(["_id", "_mark"]))
-    return kept.select(*docs.columns)
+    texts, found = labelled(docs, percent)
+    found = found.select("k1", "k2", "n_shingles", F.struct("head.id", "head.k1", "head.k2").alias("head"))
+    # a row travels as one struct, so that no name of its columns can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_id().alias("id"), *(c.alias(k) for k, c in content().items()))
+    rows = spread_join(rows, found, ["k1", "k2"], texts.select("k1", "k2", "n"), "left")
+    wordless = rows.where("n_shingles IS NULL").select("row")
+    first = rows.where(F.col("head").eqNullSafe(F.struct("id", "k1", "k2")) & F.col("n_shingles").isNotNull())
+    twice = docs.groupBy(doc_id().alias("id"), *(c.alias(k) for k, c in content().items())).count().where("count > 1")
+    if not twice.isEmpty():
+        first = first.dropDuplicates(["id", "k1", "k2"])
+    return first.select("row").union(wordless).select("row.*")

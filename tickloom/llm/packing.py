@@ -51,7 +51,7 @@ class Ids(Kept):
         self.words: dict[bytes, bytes] = {}
 
     def make(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def word(self, word: bytes) -> bytes:

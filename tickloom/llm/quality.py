@@ -128,7 +128,7 @@ def order_rules(docs: DataFrame, rules: dict[str, Rule] = RULES, sample: int = S
                 out.append((name, rejected, time.perf_counter() - began))
             yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)], names=["rule", "rejected", "seconds"])
 
-    measured = by_batch(sampled(docs, sample, "doc_id").select(F.col("text").cast("string").alias("text")), measure, "rule string, rejected long, seconds double")
+    measured = by_batch(sampled(docs, sample).select(F.col("text").cast("string").alias("text")), measure, "rule string, rejected long, seconds double")
     rate = {r["rule"]: (r["rejected"] + 0.5) / (r["seconds"] + 1e-6) for r in measured.groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()}  # a row for each rule
     return sorted(names, key=lambda x: (-rate.get(x, 0.0), x))
 

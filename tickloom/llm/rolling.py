@@ -15,10 +15,12 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE2 = np.uint64(0xD1342543DE82EF95)
+_INVERSE2 = np.uint64(pow(int(_BASE2), -1, 1 << 64))
 _WEIGHTS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,21 +33,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, kept and grown by doubling."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 21)
-        for name, b in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, b, dtype=np.uint64)
+def powers(n: int, bases: tuple[np.uint64, np.uint64] = (_BASE, _INVERSE)) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, kept and grown."""
+    for b in bases:
+        if int(b) not in _powers or len(_powers[int(b)]) < n:
+            p = np.full(max(n, 1 << 21), b, dtype=np.uint64)
             p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
+            _powers[int(b)] = np.multiply.accumulate(p)
+    return _powers[int(bases[0])][:n], _powers[int(bases[1])][:n]
 
 
 class Hashes:
     """Content hashes of any span of a symbol sequence in constant time each."""
 
     def __init__(self, symbols: np.ndarray):
+        self.symbols, self.other = symbols, None
         up, self.down = powers(len(symbols) + 1)
         self.sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
         np.cumsum(symbols * up[:-1], out=self.sums[1:])
@@ -62,6 +64,16 @@ class Hashes:
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def seconds(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Another hash of spans: of other weights, to another base."""
+        if self.other is None:
+            up, down = powers(len(self.symbols) + 1, (_BASE2, _INVERSE2))
+            sums = np.zeros(len(self.symbols) + 1, dtype=np.uint64)
+            np.cumsum(mix(self.symbols ^ np.uint64(0x632BE59BD9B4E019)) * up[:-1], out=sums[1:])
+            self.other = sums, down
+        sums, down = self.other
+        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of rows of about SLICE_BYTES of text; a null text is empty.
@@ -144,7 +156,7 @@ def anchors(symbols: np.ndarray, first: np.ndarray, window: int, gram: int) -> t
     wide = window - gram + 1
     if len(symbols) < window:
         return none, none, none.astype(np.uint64), np.zeros((0, 2), np.int64), hashes
-    bits = np.uint64(max(int(len(grams)).bit_length(), 1))
+    bits = np.uint64(32)  # the same everywhere, so that equal windows pick alike in any slice
     keys = ((grams >> bits) << bits) | np.arange(len(grams), dtype=np.uint64)
     least = window_minimum(keys, wide)
     # windows that cross a row's end are left out
@@ -166,14 +178,6 @@ def anchors(symbols: np.ndarray, first: np.ndarray, window: int, gram: int) -> t
     return row, at, grams[at], runs, hashes
 
 
-def context(at: np.ndarray, row: np.ndarray, first: np.ndarray, window: int, gram: int, hashes: Hashes) -> np.ndarray:
-    """Hash of everything that the windows owning each anchor can hold, with the distance to the row's ends."""
-    reach = window - gram
-    left = np.maximum(at - reach, first[row])
-    right = np.minimum(at + gram + reach, first[row + 1])
-    return mix(hashes.spans(left, right) ^ ((at - left).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
-
-
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Mask of n symbols under spans of ``length`` from each start."""
     edge = np.zeros(n + 1, dtype=np.int32)

@@ -114,7 +114,7 @@ def log_ratio(ordinary: np.ndarray, drawn: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """Table of log ratios, from about sample_docs documents."""
-    sample = sampled(docs, sample_docs, "doc_id").select(full_text().alias("text"))
+    sample = sampled(docs, sample_docs).select(full_text().alias("text"))
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts = _counts([w for t in batch.column(0) for w in identifiers(t.as_py())])

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import rolling as R
 from .common import by_batch, full_text, sampled
@@ -70,7 +71,7 @@ class Ftrl:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) that are not zero. labels: doc_id, label 0/1."""
     few = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label"))
-    few = sampled(few, sample, "doc_id")
+    few = sampled(few, sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text")).join(F.broadcast(few), "doc_id")
 
     def featured(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -96,10 +97,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return table["at"].to_numpy(np.int64), table["w"].to_numpy(np.float64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs with score (0 to 1) of every row's text; other columns stay."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], column: str = "score") -> DataFrame:
+    """docs with ``column`` (0 to 1), the score of every row's text; other columns stay."""
+    if column.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs have a column {column} already")
     at, weight = model
-    text_at = docs.columns.index("text")
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         table = np.zeros(DIMENSIONS + 1)
@@ -109,10 +111,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             hit = np.flatnonzero(table[x])
             key = np.unique(row[hit].astype(np.int64) * DIMENSIONS + x[hit])
             total = np.bincount(key // DIMENSIONS, weights=table[key % DIMENSIONS], minlength=rows.num_rows) + table[DIMENSIONS]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))], names=[*rows.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))], names=[*rows.schema.names, column])
 
-    assert docs.columns[text_at] == "text"
-    return by_batch(docs, each, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double")
+    return by_batch(docs, each, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """docs whose score stays under 0.5."""
+    column = "score"
+    while column.lower() in (c.lower() for c in docs.columns):
+        column += "_"
+    return score(docs, model, column).where(F.col(column) < 0.5).drop(column)
 
 
 def held_out(doc_id: str = "doc_id"):
