@@ -115,10 +115,8 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], counts: DataFra
     total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(SPREAD_ROWS, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     hot = counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_shares"))
-    rows = hot.collect()  # four for each partition at most
-    if not rows:
-        return big.join(small, on, how)
-    hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
+    hot = F.broadcast(spark.createDataFrame(hot.collect(), hot.schema))  # four for each partition at most
     dealt = big.withColumn("_n", F.monotonically_increasing_id()).join(hot, on, "left").withColumn("_share", F.pmod(F.xxhash64("_n"), F.coalesce("_shares", F.lit(1))).cast("int"))
-    copied = small.join(hot, on, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    copies = small.join(hot, on).withColumn("_share", F.explode(F.sequence(F.lit(1), F.col("_shares") - 1))).drop("_shares")
+    copied = small.withColumn("_share", F.lit(0)).unionByName(copies)
     return dealt.drop("_n", "_shares").join(copied, [*on, "_share"], how).drop("_share")

@@ -8,8 +8,8 @@ eight bytes, splits it where they differ and lets single suffixes go. After 200
 exactly the repeated windows; nothing is read beyond that depth.
 
 A gram's runs are sorted in one task while they are LIMIT at most. Hot grams are split first: into blocks
-of BLOCK suffixes by the 185 bytes that a block shares, each sorted by itself, and blocks that are still hot
-into single windows, which are counted by 128 bits of their content.
+of 16 suffixes by the 185 bytes that a block shares, each sorted by itself; blocks that are still hot into
+blocks of 4, and those into single windows, which are counted by 128 bits of their content.
 
 Defined results: a null or empty text has no bytes; a text shorter than the window keeps all bytes; rows
 that repeat a text count as further places, whatever their ids; other columns are not read by ``dedup_bytes``.
@@ -34,9 +34,9 @@ from .repeats import RUNS, Windows, bodies, columns_of, distinct_texts, flattene
 
 WINDOW = Windows("byte", 200, 64)
 #: Bodies of one gram that are sorted in one task.
-LIMIT = 1024
-#: Suffixes of a block.
-BLOCK = 16
+LIMIT = 256
+#: Suffixes of the blocks that hot grams are split into, step by step.
+BLOCKS = (16, 4, 1)
 DIGIT = 8
 #: Suffixes that a task sorts at a time, about.
 SORTED = 1 << 20
@@ -147,7 +147,7 @@ def _blocks(texts: DataFrame, found: DataFrame, w: Windows, block: int) -> DataF
     return by_batch(texts.join(asked.hint("shuffle_hash"), "rid").select("rid", "text", "asked"), each, RUNS + ", owner long, shift long")
 
 
-def solver(w: Windows, limit: int = LIMIT, blocks: tuple[int, ...] = (BLOCK, 1)):
+def solver(w: Windows, limit: int = LIMIT, blocks: tuple[int, ...] = BLOCKS):
     """Repeated windows of the bodies that share a key: sorted where they are ``limit`` at most, else split."""
 
     def sort(texts: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
