@@ -112,10 +112,12 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], counts: DataFra
     that has been read, so that its rows are numbered alike whenever a task runs again."""
     spark = big.sparkSession
     counts = big.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(SPREAD_ROWS, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(SPREAD_ROWS, (total or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     hot = counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_shares"))
-    hot = F.broadcast(spark.createDataFrame(hot.collect(), hot.schema))  # four for each partition at most
+    rows = hot.collect() if (most or 0) > limit else []  # four for each partition at most
+    # one more that nothing equals keeps the plan the same where no key is hot
+    hot = F.broadcast(spark.createDataFrame([*map(tuple, rows), (*[None] * len(on), 2)], hot.schema))
     dealt = big.withColumn("_n", F.monotonically_increasing_id()).join(hot, on, "left").withColumn("_share", F.pmod(F.xxhash64("_n"), F.coalesce("_shares", F.lit(1))).cast("int"))
     copies = small.join(hot, on).withColumn("_share", F.explode(F.sequence(F.lit(1), F.col("_shares") - 1))).drop("_shares")
     copied = small.withColumn("_share", F.lit(0)).unionByName(copies)

@@ -8,12 +8,13 @@ sized by the percentage, so that a pair at it shares none with probability MISSE
 agree independently.
 
 Equal texts are one text, equal sets one set, whatever ids their rows have. Only sets that share a band are
-compared. First each set with its bands' hubs, the smallest set of a band: registers before texts, by the
+compared. First each set with a hub, the smallest set of a band: with the hub that most of its bands have, then with
+the others that it is not yet connected with; registers before texts, by the
 collision-corrected estimate, and texts only for pairs whose estimate is not clearly too low. What is linked
 so far makes components; most bands then hold one component and are done. In every other band the sets of unlike
-components are compared by their registers in cells of bounded size, block against block, so a band of any size
-is compared whole, and the pairs that pass are confirmed on the full sets too. Sets linked with a hub are
-never compared with one another.
+components are compared in cells of bounded size, block against block, so a band of any size
+is compared whole: registers first, full sets where the estimate allows a link, each pair in the first of the
+bands that it shares. Sets that are connected already are never compared.
 
 Defined results: a null text or one without words has an empty set, linked with nothing; one with fewer
 than five words is one shingle. A component is named by its smallest id; rows without an id never name one, and
@@ -40,8 +41,9 @@ PERCENT = 85
 REGISTERS = 320
 #: Chance that a pair just linked shares no band.
 MISSED = 4e-6
-#: Sets of a band in a block of a cell, about; and partners of a set that are compared with it in one task.
-BLOCK = 256
+#: Sets and shingles of a band in a block of a cell, about; and partners of a set that are compared with it in one task.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 PARTNERS = 64
 _REST = 40
 _MANTISSA = 10
@@ -241,47 +243,83 @@ def linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, percent: int, sc
     return scratch.keep(_stars(near, texts.select("rid", "text"), equal, scratch))
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): plausible pairs of unlike components within a band. members: a kept table of band, rid, component, size, registers."""
-    sized = members.groupBy("band").agg(F.count("*").alias("n"))
-    blocks = sized.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+def _between(texts: list[bytes], rid: np.ndarray, of: np.ndarray, block: np.ndarray, within: bool, band: int, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked in one cell of a band; not within: only between its two blocks. of: the
+    component of each set so far. A pair is compared in the first of the bands that it shares, and only while its
+    components are apart."""
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    n = len(texts)
+    row, found = shingles(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
+    edge = np.searchsorted(row, np.arange(n + 1))
+    size = np.diff(edge)
+    m = registers(row, found, n)
+    at, keys = band_keys(m, percent)
+    keys = keys.view(np.int64).reshape(n, -1)
+    links, of = [], of.copy()
+    for i in range(n - 1):
+        j = i + 1 + np.flatnonzero(of[i + 1 :] != of[i])
+        if not within:
+            j = j[block[j] != block[i]]
+        j = j[plausible(m[j], size[j], m[i], int(size[i]), percent)] if len(j) else j
+        same = keys[j] == keys[i]
+        j = j[keys[j, same.argmax(1)] == band] if len(j) else j
+        if not len(j):
+            continue
+        own = found[edge[i] : edge[i + 1]]
+        spans = np.repeat(edge[j] - np.concatenate([[0], np.cumsum(size[j])[:-1]]), size[j]) + np.arange(size[j].sum())
+        theirs = found[spans]
+        common = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        both = np.add.reduceat(common, np.concatenate([[0], np.cumsum(size[j])[:-1]]), dtype=np.int64)
+        for k in j[100 * both >= percent * (size[j] + size[i] - both)].tolist():
+            if of[k] != of[i]:
+                links.append((int(rid[i]), int(rid[k])))
+                of[of == of[k]] = of[i]
+    return links
+
+
+def across(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between unlike components within a band. members: a kept table of band, rid, component, size."""
+    sized = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    blocks = sized.select("band", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = spread_join(members, blocks, ["band"], sized).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rid", "component", "size", "registers")
+    placed = placed.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rid", "component")
+    whole = texts.select("rid", "text").join(members.select("rid").distinct(), "rid", "left_semi")
+    cells = placed.join(whole.hint("shuffle_hash"), "rid")
 
     def each(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
-        m, size, rid, of, block = _registers(cell["registers"]), *(cell[c].to_numpy() for c in ("size", "rid", "component", "block"))
+        raw = [t.as_py() for t in cell["text"].cast(pa.large_binary())]
         within = cell["one"][0].as_py() == cell["two"][0].as_py()
-        a, b = [], []
-        for i in range(len(rid)):
-            j = np.flatnonzero((rid > rid[i]) & (of != of[i]) & (within | (block != block[i])))
-            if len(j):
-                j = j[plausible(m[j], size[j], m[i], int(size[i]), percent)]
-                a += [rid[i]] * len(j)
-                b += rid[j].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        found = _between(raw, *(cell[c].to_numpy() for c in ("rid", "component", "block")), within, cell["band"][0].as_py(), percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return placed.groupBy("band", "one", "two").applyInArrow(each, "a long, b long").distinct()
+    return cells.groupBy("band", "one", "two").applyInArrow(each, "a long, b long")
 
 
-def links(sets: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links that connect all sets which are linked. sets: a kept table of one row for each set."""
+def connected(sets: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, label): the smallest set that each linked set can reach. sets: a kept table of one row for each set."""
     keys = scratch.keep(sets.select("rid", F.explode("bands").alias("band")))
     hubs = scratch.keep(keys.groupBy("band").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     met = scratch.keep(spread_join(keys, hubs.select("band", "hub", F.col("n").alias("of")), ["band"], hubs).where("rid <> hub"))
     scratch.drop(keys)
-    stars = scratch.keep(met.select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct())
-    first = linked(stars, sets, texts, percent, scratch)
+    # each set first with the hub that it meets most often, then with its other hubs where that left them apart
+    pairs = scratch.keep(met.groupBy(F.col("hub").alias("a"), F.col("rid").alias("b")).agg(F.count("*").alias("times")))
+    best = scratch.keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"))
+    first = linked(best, sets, texts, percent, scratch)
     label = scratch.keep(components(first, scratch))
+    left, right = (label.select(F.col("id").alias(c), F.col("label").alias(f"{c}_of")) for c in ("a", "b"))
+    apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(right, "b", "left")
+    apart = spread_join(scratch.keep(apart), left, ["a"], how="left").where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b"))
+    more = linked(scratch.keep(apart.select("a", "b")), sets, texts, percent, scratch)
+    label = scratch.keep(components(more.union(label.select("id", "label")), scratch))
     # what is left of bands with three sets or more: those whose sets besides the hub are not all connected
     rest = met.where("of > 2").join(label.withColumnRenamed("id", "rid"), "rid", "left").select("band", "rid", F.coalesce("label", "rid").alias("component"))
     rest = scratch.keep(rest)
     mixed = rest.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
     members = scratch.keep(spread_join(rest, mixed.select("band"), ["band"], rest.groupBy("band").agg(F.count("*").alias("n"))))
-    members = scratch.keep(spread_join(members, sets.select("rid", "size", "registers"), ["rid"]))
-    more = scratch.keep(across(members, percent))
-    return first if more.isEmpty() else first.union(linked(more, sets, texts, percent, scratch))
+    members = scratch.keep(spread_join(members, sets.select("rid", "size"), ["rid"]))
+    return components(across(members, texts, percent).union(label.select("id", "label")), scratch)
 
 
 def labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -294,7 +332,7 @@ def labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     member = scratch.keep(spread_join(drawn.select("rid", *kin), of.select(*kin, "set"), kin))
     sets = scratch.keep(drawn.join(of.select(F.col("set").alias("rid")), "rid"))
     scratch.drop(drawn)
-    label = components(links(sets, texts, percent, scratch), scratch)
+    label = connected(sets, texts, percent, scratch)
     named = member.select("rid", "size", "set").join(label.withColumnRenamed("id", "set"), "set", "left").select("rid", "size", F.coalesce("label", "set").alias("component"))
     row = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "k1", "k2")
     own = scratch.keep(texts.select("rid", "k1", "k2", row.alias("me")).join(named, "rid"))
