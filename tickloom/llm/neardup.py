@@ -157,20 +157,20 @@ def sketches(texts: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, label): the smallest id that each linked id can reach, by alternating star contraction. Links: a, b."""
+    """(id, label): the smallest id that each linked id can reach, by alternating star contraction. Links: a, b.
+
+    Rows are two numbers, so even a component of a third of all sets is small until AQE splits it."""
     pairs = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     print_of = lambda p: tuple(p.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = print_of(pairs)
     while seen[0]:
         both = pairs.union(pairs.select("v", "u"))
-        of = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        least = of.select("u", F.least("u", "m").alias("m"))
-        large = scratch.keep(spread_join(both, least, ["u"], of).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        of = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        least = of.select("u", "m")
-        small = spread_join(large, least, ["u"], of).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.keep(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        scratch.drop(pairs, large)
+        scratch.drop(pairs)
         pairs, now = after, print_of(after)
         if now == seen:
             break
@@ -211,7 +211,8 @@ def _stars(pairs: DataFrame, payload: DataFrame, judge, scratch: Scratch) -> Dat
         partners = rid[1:][judge(cell)]
         return pa.table({"a": pa.array(np.full(len(partners), a), pa.int64()), "b": pa.array(partners, pa.int64())})
 
-    cells = spread_join(rows, payload, ["rid"]).select("a", "cell", "rid", *names)
+    # a set stands in one row for each of its hubs and each cell of its own: no key is hot
+    cells = rows.join(payload, "rid").select("a", "cell", "rid", *names)
     return cells.groupBy("a", "cell").applyInArrow(each, "a long, b long")
 
 
