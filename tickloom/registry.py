@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, outcomes, queries
+from . import decisions, outcomes, queries, records
 
-QUERIES = {**queries.QUERIES, **decisions.QUERIES, **outcomes.QUERIES}
-SQL = {**queries.SQL, **decisions.SQL, **outcomes.SQL}
+QUERIES = {**queries.QUERIES, **decisions.QUERIES, **outcomes.QUERIES, **records.QUERIES}
+SQL = {**queries.SQL, **decisions.SQL, **outcomes.SQL, **records.SQL}
