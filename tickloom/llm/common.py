@@ -116,9 +116,9 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], counts: DataFra
     limit = max(SPREAD_ROWS, (total or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     hot = counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_shares"))
     rows = hot.collect() if (most or 0) > limit else []  # four for each partition at most
-    # one more that nothing equals keeps the plan the same where no key is hot
-    hot = F.broadcast(spark.createDataFrame([*map(tuple, rows), (*[None] * len(on), 2)], hot.schema))
+    # where no key is hot one of a single share, which changes nothing, keeps the plan the same
+    hot = F.broadcast(spark.createDataFrame([tuple(r) for r in rows] or [(*[0] * len(on), 1)], hot.schema))
     dealt = big.withColumn("_n", F.monotonically_increasing_id()).join(hot, on, "left").withColumn("_share", F.pmod(F.xxhash64("_n"), F.coalesce("_shares", F.lit(1))).cast("int"))
-    copies = small.join(hot, on).withColumn("_share", F.explode(F.sequence(F.lit(1), F.col("_shares") - 1))).drop("_shares")
+    copies = small.join(hot.where("_shares > 1"), on).withColumn("_share", F.explode(F.sequence(F.lit(1), F.col("_shares") - 1))).drop("_shares")
     copied = small.withColumn("_share", F.lit(0)).unionByName(copies)
     return dealt.drop("_n", "_shares").join(copied, [*on, "_share"], how).drop("_share")
