@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Rows of one key from which on a join deals them to several tasks, whatever the table's size.
 SPREAD_ROWS = 200
+#: Slots for each shuffle partition in which such a join looks up how often a key is dealt, and all of them at most.
+SLOTS = 16
+MOST_SLOTS = 1 << 16
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -106,19 +109,22 @@ def settle(df: DataFrame) -> DataFrame:
 def spread_join(big: DataFrame, small: DataFrame, on: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """big joined with small (each key once) on ``on``, hot keys of big dealt to several tasks.
 
-    Keys with more rows than a quarter of a mean partition (SPREAD_ROWS at least) are hot; there are at
-    most four for each partition, so they fit a broadcast at any size. A hot key's row of small is repeated
-    once for each share. counts: ``on`` and n, the rows of big for each key (or more), where known. big is a table
-    that has been read, so that its rows are numbered alike whenever a task runs again."""
-    spark = big.sparkSession
-    counts = big.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
-    total, most = counts.agg(F.sum("n"), F.max("n")).first()
-    limit = max(SPREAD_ROWS, (total or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_shares"))
-    rows = hot.collect() if (most or 0) > limit else []  # four for each partition at most
-    # where no key is hot one of a single share, which changes nothing, keeps the plan the same
-    hot = F.broadcast(spark.createDataFrame([tuple(r) for r in rows] or [(*[0] * len(on), 1)], hot.schema))
-    dealt = big.withColumn("_n", F.monotonically_increasing_id()).join(hot, on, "left").withColumn("_share", F.pmod(F.xxhash64("_n"), F.coalesce("_shares", F.lit(1))).cast("int"))
-    copies = small.join(hot.where("_shares > 1"), on).withColumn("_share", F.explode(F.sequence(F.lit(1), F.col("_shares") - 1))).drop("_shares")
-    copied = small.withColumn("_share", F.lit(0)).unionByName(copies)
-    return dealt.drop("_n", "_shares").join(copied, [*on, "_share"], how).drop("_share")
+    Keys fall into SLOTS slots for each shuffle partition by hash. A slot whose largest key has more rows than a
+    quarter of a mean partition (SPREAD_ROWS at least) is hot: its rows of big are dealt to shares, its rows of
+    small repeated once for each. Both sides look the shares up in the same literal list, so nothing is marked by a
+    join and the plan is one at every size. Only one row of each slot comes to the driver, and small grows by
+    half at most on average. counts: ``on`` and n, the rows of big for each key (or more), where known. Keys are of one type
+    on both sides; big is a table that has been read, so that its rows are numbered alike whenever a task runs again."""
+    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = min(SLOTS * partitions, MOST_SLOTS)
+    slot = F.pmod(F.xxhash64(*on), F.lit(slots)).cast("int")
+    counts = big.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
+    found = counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).collect()
+    limit = max(SPREAD_ROWS, sum(r["rows"] for r in found) // (4 * partitions))
+    shares = [1] * slots
+    for r in found:
+        shares[r["slot"]] = max(1, -(-r["most"] // limit))
+    dealt_to = F.get(F.expr(f"cast(split('{','.join(map(str, shares))}', ',') AS array<int>)"), slot)
+    dealt = big.withColumn("_share", F.pmod(F.xxhash64(F.monotonically_increasing_id()), dealt_to).cast("int"))
+    copied = small.withColumn("_share", F.explode(F.sequence(F.lit(0), dealt_to - 1)))
+    return dealt.join(copied, [*on, "_share"], how).drop("_share")
