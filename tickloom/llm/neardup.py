@@ -178,6 +178,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("label")).union(pairs.select("v", "v").distinct())
 
 
+def merged(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """label (id, label) after further links. Both are kept tables. Only the components' names are linked anew, so
+    that sets which are connected already are not walked again."""
+    left, right = (label.select(F.col("id").alias(c), F.col("label").alias(f"{c}_of")) for c in ("a", "b"))
+    ends = spread_join(scratch.keep(links.select("a", "b").join(right, "b", "left")), left, ["a"], how="left")
+    tops = scratch.keep(components(ends.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")), scratch))
+    moved = spread_join(label, tops.select(F.col("id").alias("label"), F.col("label").alias("top")), ["label"], how="left")
+    alone = tops.join(label.select("id"), "id", "left_anti")
+    return scratch.keep(moved.select("id", F.coalesce("top", "label").alias("label")).union(alone.select("id", "label")))
+
+
 def estimates(m: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimate of each row of registers with ``one``, and the registers it rests on."""
     full = m != _EMPTY
@@ -313,14 +324,14 @@ def connected(sets: DataFrame, texts: DataFrame, percent: int, scratch: Scratch)
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(right, "b", "left")
     apart = spread_join(scratch.keep(apart), left, ["a"], how="left").where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b"))
     more = linked(scratch.keep(apart.select("a", "b")), sets, texts, percent, scratch)
-    label = scratch.keep(components(more.union(label.select("id", "label")), scratch))
+    label = merged(label, more, scratch)
     # what is left of bands with three sets or more: those whose sets besides the hub are not all connected
     rest = met.where("of > 2").join(label.withColumnRenamed("id", "rid"), "rid", "left").select("band", "rid", F.coalesce("label", "rid").alias("component"))
     rest = scratch.keep(rest)
     mixed = rest.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
     members = scratch.keep(spread_join(rest, mixed.select("band"), ["band"], rest.groupBy("band").agg(F.count("*").alias("n"))))
     members = scratch.keep(spread_join(members, sets.select("rid", "size"), ["rid"]))
-    return components(across(members, texts, percent).union(label.select("id", "label")), scratch)
+    return merged(label, scratch.keep(across(members, texts, percent)), scratch)
 
 
 def labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
