@@ -11,27 +11,18 @@ itself; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch
+from .wordings import TEMPLATES
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Wording of public licenses and of the usual notices. Label, template.
-TEMPLATES = (
-    ("mit-notice", "[this {6} is] released under the [terms of the] mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-notice", "licensed under the apache license version 2 0 [the license]"),
-    ("gpl-notice", "licensed under the gnu [lesser] [affero] general public license [as published by the free software foundation] [either] version {1}"),
-    ("gpl-text", "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by-notice", "licensed under [a] [creative commons] [the] cc by [nc] [sa] [nd] {1} 0"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-)
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -43,7 +34,7 @@ class Automaton:
         self.skips: dict[int, list[int]] = {}
         self.mandatory: list[bool] = []
         opened: list[int] = []
-        for part in template.replace("[", " [ ").replace("]", " ] ").split():
+        for part in re.findall(r"\[|\]|\{\d+\}|[^\[\]{}\s]+", template):
             if part == "[":
                 opened.append(len(self.words))
             elif part == "]":
@@ -56,14 +47,13 @@ class Automaton:
                 for s in range(begin, len(self.words)):
                     self.skips.setdefault(s, []).append(len(self.words))
             else:
-                self.words.append(part.encode())
-                self.mandatory.append(not opened)
+                read = part.encode().translate(_WORD).split()
+                self.words += read
+                self.mandatory += [not opened] * len(read)
         self.needed = sum(self.mandatory)
-        firsts = [w for w, m in zip(self.words, self.mandatory, strict=True) if m]
-        #: The two words in a row that any accepted text has.
-        self.pivot = firsts[0]
-        lead = self.mandatory.index(True)
-        self.begin = lead  # what is optional before the first mandatory word needs no reading
+        self.begin = self.mandatory.index(True)  # what is optional before the first mandatory word needs no reading
+        #: The first mandatory word, and the next if it must follow at once.
+        self.pivot = tuple(w for w, m in zip(self.words[self.begin : self.begin + 2], self.mandatory[self.begin :]) if m)  # noqa: B905
 
     def _closed(self, states: dict[int, int]) -> dict[int, int]:
         queue = list(states)
@@ -115,6 +105,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, ph
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         automata = [(label, Automaton(t)) for label, t in templates]
+        pivots = {a.pivot for _, a in automata}
         listed = [([w.encode() for w in ws], label) for ws, label in wanted]
         out: list[tuple] = []
         for value in batch.column(1).cast(pa.large_binary()):
@@ -126,10 +117,9 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, ph
                     places += found
                     base.add(label)
                     score = 0.5
+            starts = {pivot: _places(words, list(pivot)) if known.issuperset(pivot) else [] for pivot in pivots}
             for label, a in automata:
-                if a.pivot not in known:
-                    continue
-                for at in _places(words, [a.pivot]):
+                for at in starts[a.pivot]:
                     accepted, met = a.run(words, at)
                     if met > 1:
                         score = max(score, met / a.needed if not accepted else 1.0)

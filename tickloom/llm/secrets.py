@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and tokens that a character Markov model finds random.
 
-Two second-order models over character classes are trained from labelled samples: random strings (seeded
+Two first-order models over characters are trained from labelled samples: random strings (seeded
 draws from the alphabets that keys are written in) and ordinary identifiers (runs of the characters that keys
 are written in from a bounded sample of the documents, outside the patterns' finds, their snake_case,
 camelCase, dashed and path joins, and joins with seeded dates and numbers). A candidate is a run of MIN_LENGTH
