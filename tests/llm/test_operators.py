@@ -157,6 +157,57 @@ def test_licenses(docs, rows):
     assert "apache-notice" in r["labels"] and r["score"] == 1.0 and got[0]["first_word"] is None
 
 
+def filled(template):
+    """A text by the template with all of its optional words and three holders in place of what may be replaced."""
+    return re.sub(r"\{(\d+)\}", lambda m: " ".join(["someone", "or", "others"][: int(m[1])]), template.replace("[", " ").replace("]", " "))
+
+
+def test_each_license_is_accepted_whole_and_not_with_a_word_changed(spark):
+    made = []
+    for label, template in licenses.TEMPLATES:
+        plain = re.sub(r"\[[^\]]*\]", " ", template)
+        plain = re.sub(r"\{\d+\}", "x", plain)
+        words = plain.split()
+        made += [(label, True, f"a b {filled(template)} c"), (label, True, f"Copyright 2001 someone. {plain}")]
+        for k in (0, len(words) // 2, len(words) - 1):
+            if words[k] != "x":
+                made.append((label, False, " ".join([*words[:k], "otherwise", *words[k + 1 :]])))
+    rows = [(i, text) for i, (_, _, text) in enumerate(made)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, whole, _) in enumerate(made):
+        assert (label in got[i]["labels"].split(",")) == whole, made[i]
+        assert 0 <= got[i]["score"] <= 1 and (not whole or got[i]["score"] == 1)
+    clauses = {label: i for i, (label, whole, _) in enumerate(made) if whole}
+    assert got[clauses["bsd-2-clause"]]["labels"] == "bsd-2-clause" and got[clauses["bsd-3-clause"]]["labels"] == "bsd-3-clause"
+
+
+def rejected(text):
+    """The quality rules one by one, over a text that passes the base rules."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
+    mean = sum(map(len, words)) / len(words)
+    few = sum(bool(re.search(r"[A-Za-z\x80-\U0010ffff]", w)) for w in words) < 0.5 * len(words)
+    items = sum(x.lstrip().startswith(("- ", "* ", "+ ", "•")) for x in lines)
+    broken = sum(x.rstrip().endswith(("...", "…")) for x in lines)
+    many = len(lines) >= 5
+    return mean < 2 or mean > 25 or len(re.findall(r"[#*$%&|<>]", text)) > 0.1 * len(words) or len(lines) - len(set(lines)) > 0.3 * len(lines) or few or (many and items > 0.9 * len(lines)) or (many and broken > 0.5 * len(lines))
+
+
+def test_quality_verdict_equals_all_rules_in_any_order(spark, docs, rows):
+    plain = " ".join(f"word{k}" for k in range(30))
+    made = ["7 " * 9 + " ".join(str(k) for k in range(100, 140)), "\n".join(f"- item {k} of a list here" for k in range(9)), "\n".join(f"line {k} breaks off ..." for k in range(9)), plain, plain + " #" * 9, plain + " x" * 3 + "\n" + "same\n" * 4, " ".join("q" * 40 + str(k) for k in range(25)), " ".join("abcdefgh"[k % 8] for k in range(24)), " ".join(chr(97 + k % 26) if k < 26 else chr(192 + k) for k in range(60))]
+    both = [(r[0], r[1]) for r in rows] + [(10_000 + k, t) for k, t in enumerate(made)]
+    table = spark.createDataFrame(both, "doc_id long, text string")
+    want = Counter()
+    for d, t in both:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        counts = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        failed = len(words) < 20 or 100 * int(removed(words, 8, counts).sum()) > 30 * len(words)
+        want[d, failed, not failed and not rejected(t)] += 1
+    for order in (None, sorted(quality.RULES), sorted(quality.RULES, reverse=True)):
+        assert Counter((r["doc_id"], r["base_failed"], r["kept"]) for r in quality.judge(table, order=order).collect()) == want
+
+
 def test_bpe(docs, rows):
     from tokenizers import Tokenizer
 
