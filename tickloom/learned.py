@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .decisions import _REC, SQL as _DECISIONS, _rounded
 from .functions import indicators as I
-from .operators import chart_patterns, labels, learning
-from .outcomes import _query
+from .operators import chart_patterns, labels, learning, trendlines
+from .outcomes import _LINES, _query
 from .plans import scanner
-from .queries import _S, _WITH
+from .queries import _PIVOT, _S, _WITH
 from .records import SQL as _RECORDS, _vectors
 from .sources.candles import load, series
 
@@ -65,6 +65,13 @@ def _pattern_signal(bars: DataFrame) -> DataFrame:
     return rows.select("symbol", F.coalesce(side, F.lit(0.0)).alias("signal"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
+def _line_signal(bars: DataFrame) -> DataFrame:
+    last = I.recurrences(bars).groupBy("symbol").agg(F.max_by(F.struct("i", "c", "atr14"), "i").alias("x")).select("symbol", "x.*")
+    ends = last.select("symbol", "i", "c", F.coalesce("atr14", 0.005 * F.col("c")).alias("atr"))
+    found = trendlines.lines(bars, ends.select("symbol", (F.col("atr") * 0.5).alias("tolerance")))
+    return trendlines.line_signal(found, trendlines.channels(found, ends), ends)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "regime_states": _query(lambda b: learning.committed(_keyed(b))),
     "seeded_draws": _query(_drawn),
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sign_accuracy": _query(lambda b: learning.sign_accuracy(_guesses(b))),
     "champion_drift": _query(lambda b: learning.champion_drift(_decided(b), _BASELINE)),
     "module_chart_patterns": _query(_pattern_signal),
+    "module_trendline": _query(_line_signal),
     "vectors_scaled": _scaled,
     "clusters": lambda spark, sf_dir: learning.clusters(_vectors(spark, sf_dir).select("vec_id", "vector")).select("vec_id", "cluster"),
     "scanner": lambda spark, sf_dir: _rounded(scanner.scanned(load(spark, sf_dir))),
@@ -129,6 +137,15 @@ SELECT symbol, n, ROUND(e, 6) AS ewma, COALESCE(e < {_BASELINE}::DOUBLE - 0.1::D
     "module_chart_patterns": f"""WITH np AS ({_RECORDS['chart_pattern_newest']})
 SELECT s.event_type AS symbol, COALESCE(ROUND(CASE bias WHEN 'bullish' THEN confidence ELSE -confidence END * CASE WHEN broken THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END, 6), 0.0::DOUBLE) AS signal, COALESCE(confidence, 0.0::DOUBLE) AS confidence
 FROM (SELECT DISTINCT event_type FROM events) s LEFT JOIN np ON np.symbol = s.event_type""",
+    "module_trendline": f"""{_REC}{_PIVOT}{_LINES}, tb AS (SELECT e.symbol, e.c, atr, u.score AS us, d.score AS ds, u.touches AS ut, d.touches AS dt, u.slope AS um, d.slope AS dm,
+u.slope * e.i + u.intercept AS y1, d.slope * e.i + d.intercept AS y0 FROM ends e LEFT JOIN ln u ON u.symbol = e.symbol AND u.kind = 'high' LEFT JOIN ln d ON d.symbol = e.symbol AND d.kind = 'low'),
+tc AS (SELECT *, CASE WHEN ds IS NULL OR us >= ds THEN us ELSE ds END AS s, CASE WHEN ds IS NULL OR us >= ds THEN ut ELSE dt END AS n, CASE WHEN ds IS NULL OR us >= ds THEN um ELSE dm END AS m,
+CASE WHEN y1 > y0 THEN (c - y0) / (y1 - y0) * 2 - 1 END AS pl, CASE WHEN c - y1 >= 0.5::DOUBLE * atr THEN 1 WHEN y0 - c >= 0.5::DOUBLE * atr THEN -1 ELSE 0 END AS way FROM tb),
+td AS (SELECT *, EXP(8 * m / atr) AS e8 FROM tc)
+SELECT symbol, ROUND(CASE WHEN pl > 2 THEN 2.0::DOUBLE WHEN pl < -2 THEN -2.0::DOUBLE ELSE pl END, 6) AS position,
+ROUND(CASE WHEN s IS NULL OR s < 0.3::DOUBLE OR n < 3 THEN 0.0::DOUBLE ELSE GREATEST(-1.0::DOUBLE, LEAST(1.0::DOUBLE, 0.5::DOUBLE * (e8 - 1) / (e8 + 1) + 0.3::DOUBLE * way
+- 0.2::DOUBLE * COALESCE(CASE WHEN pl > 1 THEN 1.0::DOUBLE WHEN pl < -1 THEN -1.0::DOUBLE ELSE pl END, 0.0::DOUBLE))) END, 6) AS signal,
+ROUND(CASE WHEN s IS NULL THEN 0.0::DOUBLE WHEN s < 0.3::DOUBLE OR n < 3 THEN LEAST(0.3::DOUBLE, s) WHEN way <> 0 THEN s ELSE 0.85::DOUBLE * s END, 6) AS confidence FROM td""",
     "vectors_scaled": """WITH v AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, CAST(UNNEST(embedding) AS DOUBLE) AS x FROM embeddings),
 s AS (SELECT dim, AVG(x) AS mean, CASE WHEN STDDEV_SAMP(x) >= 1e-12 THEN STDDEV_SAMP(x) ELSE 1.0::DOUBLE END AS std, MIN(x) AS low, CASE WHEN MAX(x) = MIN(x) THEN MIN(x) + 1 ELSE MAX(x) END AS high FROM v GROUP BY dim)
 SELECT vec_id, dim, ROUND(GREATEST(-5.0::DOUBLE, LEAST(5.0::DOUBLE, (x - mean) / std)), 6) AS z, ROUND(2 * (x - low) / (high - low) - 1, 6) AS unit FROM v JOIN s USING (dim)""",

@@ -41,3 +41,27 @@ def channels(found: DataFrame, ends: DataFrame, beyond: float = 0.5, alike: floa
     breakout = F.when(F.col("over") >= beyond * atr, "up").when(F.col("under") >= beyond * atr, "down")
     rows = rows.withColumn("breakout", breakout)
     return rows.select("symbol", "width_atr", "parallel", "breakout", F.when(F.col("breakout") == "up", F.col("over") / atr).when(F.col("breakout") == "down", F.col("under") / atr).alias("distance_atr"))
+
+
+def line_signal(found: DataFrame, joined: DataFrame, ends: DataFrame) -> DataFrame:
+    """(symbol, position, signal, confidence): the better line's slope in mean ranges, a breakout of the channel, and where the
+    close lies between the lines, from -2 to 2. A line that fits badly (score under 0.3, fewer than three touches) gives no
+    signal, a symbol without a line nothing. joined: ``channels`` of found; ends: (symbol, i, c, atr)."""
+    side = lambda kind, x: F.max(F.when(F.col("kind") == kind, F.col(x)))
+    names = ("slope", "intercept", "score", "touches")
+    both = found.groupBy("symbol").agg(*(side(k, x).alias(f"{k}_{x}") for k in ("high", "low") for x in names))
+    rows = ends.join(both, "symbol", "left").join(joined.select("symbol", "breakout"), "symbol", "left")
+    upper = F.col("low_score").isNull() | (F.col("high_score") >= F.col("low_score"))
+    best = {x: F.when(upper, F.col(f"high_{x}")).otherwise(F.col(f"low_{x}")) for x in ("slope", "score", "touches")}
+    over, under = (F.col(f"{k}_slope") * F.col("i") + F.col(f"{k}_intercept") for k in ("high", "low"))
+    place = F.when(over > under, 2.0 * (F.col("c") - under) / (over - under) - 1.0)
+    rows = rows.withColumns({**best, "position": F.when(place.isNotNull(), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), place)))})
+    way = F.when(F.col("breakout") == "up", 0.3).when(F.col("breakout") == "down", -0.3).otherwise(0.0)
+    held = F.when(F.col("position") > 1, 1.0).when(F.col("position") < -1, -1.0).otherwise(F.col("position"))
+    inside = F.coalesce(-0.2 * held, F.lit(0.0))
+    weak = (F.col("score") < 0.3) | (F.col("touches") < 3)
+    signal = F.when(weak, 0.0).otherwise(0.5 * F.tanh(4.0 * F.col("slope") / F.col("atr")) + way + inside)
+    sure = F.when(weak, F.least(F.lit(0.3), "score")).otherwise(F.col("score") * F.when(F.col("breakout").isNull(), 0.85).otherwise(1.0))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), signal))
+    none = F.col("score").isNull()
+    return rows.select("symbol", "position", F.when(none, 0.0).otherwise(bounded).alias("signal"), F.when(none, 0.0).otherwise(sure).alias("confidence"))
