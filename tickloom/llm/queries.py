@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, licenses, neardup, packing, quality, secrets, substrings, suffixes, toxicity
+from . import bpe, fingerprints, interaction, licenses, neardup, packing, quality, secrets, substrings, suffixes, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,7 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": _documents(lambda docs: bpe.round_trip(docs, BYTE_VOCABULARY)),
     "op9_quality": _documents(quality.judge),
     "op10_neardup": _documents(neardup.near_duplicates),
+    "op11_interaction": lambda spark, sf_dir: interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
 #: SQL where it can express a query in a time that whole tables allow.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_interaction": interaction.SQL}
