@@ -75,13 +75,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df written and read back; the files that its shuffles left go as soon as it is written."""
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
+        """df written (with Parquet's options) and read back; the files that its shuffles left go as soon as it is written."""
         path = f"{self.folder}/table-{len(self.paths)}"
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, interaction, licenses, neardup, packing, quality, secrets, substrings, suffixes, toxicity
+from . import bpe, fingerprints, inner, interaction, lexical, licenses, neardup, packing, quality, secrets, substrings, suffixes, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -30,7 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": _documents(quality.judge),
     "op10_neardup": _documents(neardup.near_duplicates),
     "op11_interaction": lambda spark, sf_dir: interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op12_inner": lambda spark, sf_dir: inner.nearest(table(spark, sf_dir, "embeddings")),
+    "op13_lexical": lambda spark, sf_dir: lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 #: SQL where it can express a query in a time that whole tables allow.
-SQL: dict[str, str] = {"op11_interaction": interaction.SQL}
+SQL: dict[str, str] = {"op11_interaction": interaction.SQL, "op12_inner": inner.SQL, "op13_lexical": lexical.SQL}

@@ -99,14 +99,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).view(np.uint8) * np.uint8(32)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): byte spans of the words ``[^\\x20\\x09-\\x0D]+`` and, for each row, its first word's number
-    (one more entry than rows). Words never cross rows."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): byte spans of the words ``[^\\x20\\x09-\\x0D]+`` (or runs of bytes not ``between``) and, for each
+    row, its first word's number (one more entry than rows). Words never cross rows."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    in_word = ~_SPACE[data]
+    in_word = ~between[data]
     starts = in_word.copy()
     starts[1:] &= ~in_word[:-1]
     ends = in_word.copy()
