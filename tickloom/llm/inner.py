@@ -202,7 +202,11 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     bar = F.coalesce("floor", F.lit(_NONE).cast("long"))
     need = F.when((bar > 0) & (F.col("length") > 0), bar / F.col("length")).otherwise(0.0)
     raised = queries.join(floors, "asked", "left").select("query_id", "vector", "asked", bar.alias("floor"), need.alias("need"))
-    late = kept.keep(raised.repartitionByRange("need", "asked").sortWithinPartitions("need", "asked").withColumn("group", F.shiftright(F.monotonically_increasing_id(), GROUP_BITS)))
+    raised = kept.keep(raised.withColumn("level", level(F.col("need"))))
+    # a group holds queries of one level, a level as many groups as it has queries for
+    shares = raised.groupBy("level").agg(F.ceil(F.count("*") / (1 << GROUP_BITS)).alias("shares"))
+    group = F.shiftleft(F.col("level").cast("long"), 40) + F.pmod(F.xxhash64("asked"), F.col("shares"))
+    late = kept.keep(raised.join(shares, "level").select("query_id", "vector", "asked", "floor", "need", group.alias("group")))
     wants = late.groupBy("group").agg(F.min("need").alias("need"))
     top = int(np.floor(8 * np.log2(1 + longest))) + 1
     wanted = wants.withColumn("level", F.explode(F.sequence(F.least(level(F.col("need")), F.lit(top)), F.lit(top))))
