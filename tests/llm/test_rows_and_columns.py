@@ -261,3 +261,21 @@ def test_pipeline_stages(spark, tmp_path):
     run = Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     of = {n: k for k, n in enumerate(spark.read.parquet(f"{tmp_path}/packing").columns)}
     assert run == Counter((r[of["doc_id"]], r[of["length"]], r[of["ids_crc32"]]) for r in seen["packing"])
+
+
+@pytest.mark.parametrize("f", [substrings.dedup_words, suffixes.strip, suffixes.dedup_bytes, neardup.near_duplicates, neardup.dedup])
+def test_rows_without_text_meet_in_no_task(spark, f):
+    """20,000 null or empty rows beside 4,000 others: no partition gets over twice the mean."""
+    texts = made_texts(4000)
+    rows = [(k, None if k % 2 else "") for k in range(20_000)] + [(20_000 + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = [n for (n,) in f(docs).rdd.mapPartitions(lambda p: [(sum(1 for _ in p),)]).collect() if n]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) >= 20_000 and max(sizes) <= 2 * sum(sizes) / len(sizes)

@@ -32,6 +32,14 @@ def content(text: Column | None = None) -> dict[str, Column]:
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("second"), text)}
 
 
+def content_or_own() -> dict[str, Column]:
+    """``content`` of rows with a text; rows without one get keys of their own, which no text has, so that a join with texts
+    does not bring them all to one task."""
+    row = F.monotonically_increasing_id()
+    own = {"k1": F.xxhash64(row), "k2": F.xxhash64(F.lit("none"), row)}
+    return {k: F.when(full_text() == "", own[k]).otherwise(c) for k, c in content().items()}
+
+
 def doc_id() -> Column:
     return F.col("doc_id").cast("long").alias("doc_id")
 

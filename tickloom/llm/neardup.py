@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import Scratch, by_batch, content, doc_id, spread_join
+from .common import Scratch, by_batch, content, content_or_own, doc_id, spread_join
 from .repeats import distinct_texts, given_to_rows
 
 SHINGLE = 5
@@ -368,7 +368,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts, found = labelled(docs, percent)
     found = found.select("k1", "k2", "n_shingles", F.struct("head.id", "head.k1", "head.k2").alias("head"))
     # a row travels as one struct, so that no name of its columns can clash
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_id().alias("id"), *(c.alias(k) for k, c in content().items()))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_id().alias("id"), *(c.alias(k) for k, c in content_or_own().items()))
     rows = spread_join(rows, found, ["k1", "k2"], texts.select("k1", "k2", "n"), "left")
     wordless = rows.where("n_shingles IS NULL").select("row")
     first = rows.where(F.col("head").eqNullSafe(F.struct("id", "k1", "k2")) & F.col("n_shingles").isNotNull())

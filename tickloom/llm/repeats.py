@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import Scratch, by_batch, content, doc_id, full_text, spread_join
+from .common import Scratch, by_batch, content, content_or_own, doc_id, full_text, spread_join
 
 RUNS = "rid long, n long, place long, key long, b1 long, b2 long"
 _U = np.uint64
@@ -163,7 +163,7 @@ def flattened(lists: pa.Array, fields: int) -> tuple[np.ndarray, list[np.ndarray
 def given_to_rows(docs: DataFrame, texts: DataFrame, results: DataFrame, empty: dict, columns: dict) -> DataFrame:
     """results (k1, k2 and its own columns) for all rows of docs, ``empty`` for those without text. columns: of docs,
     what goes with them."""
-    own = docs.select(*(c.alias(k) for k, c in columns.items()), *(c.alias(k) for k, c in content().items()))
+    own = docs.select(*(c.alias(k) for k, c in columns.items()), *(c.alias(k) for k, c in content_or_own().items()))
     joined = spread_join(own, results, ["k1", "k2"], texts.select("k1", "k2", "n"), "left")
     names = [c for c in results.columns if c not in ("k1", "k2")]
     return joined.select(*columns, *(F.coalesce(F.col(c), F.lit(empty[c])).alias(c) if c in empty else F.col(c) for c in names))
