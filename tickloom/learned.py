@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .decisions import _REC, SQL as _DECISIONS, _rounded
 from .functions import indicators as I
-from .operators import chart_patterns, labels, learning, trendlines
+from .operators import chart_patterns, labels, learning, structure, trendlines
 from .outcomes import _LINES, _query
 from .plans import scanner
 from .queries import _PIVOT, _S, _WITH
@@ -19,15 +19,6 @@ from .sources.candles import load, series
 _BASELINE = 0.55
 
 
-def _keyed(bars: DataFrame) -> DataFrame:
-    """Strength and volatility of every bar that has both."""
-    share, adx = F.col("atr14") / F.col("c"), F.col("adx14")
-    strength = F.when(adx >= 40, "strong").when(adx >= 25, "moderate").otherwise("weak")
-    volatility = F.when(share <= 0.003, "low").when(share >= 0.015, "high").otherwise("normal")
-    key = F.when(adx.isNotNull() & share.isNotNull(), F.concat_ws("-", strength, volatility))
-    return I.recurrences(bars).select("symbol", "i", key.alias("key"))
-
-
 def _drawn(bars: DataFrame) -> DataFrame:
     rows = bars.select("symbol", "i", learning.hashed(F.col("symbol")).alias("hash"))
     u, v = (learning.draw(F.col("hash"), 2 * F.col("i") + k) for k in (1, 2))
@@ -59,7 +50,7 @@ def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pattern_signal(bars: DataFrame) -> DataFrame:
     """The newest chart pattern's side and confidence, less while it is not broken; 0 without one."""
-    found = chart_patterns.newest(chart_patterns.chart_patterns(bars))
+    found = chart_patterns.newest(chart_patterns.chart_patterns(I.recurrences(bars)))
     side = F.when(F.col("bias") == "bullish", 1.0).otherwise(-1.0) * F.col("confidence") * F.when(F.col("broken"), 1.0).otherwise(0.6)
     rows = bars.select("symbol").distinct().join(found, "symbol", "left")
     return rows.select("symbol", F.coalesce(side, F.lit(0.0)).alias("signal"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
@@ -68,12 +59,11 @@ def _pattern_signal(bars: DataFrame) -> DataFrame:
 def _line_signal(bars: DataFrame) -> DataFrame:
     last = I.recurrences(bars).groupBy("symbol").agg(F.max_by(F.struct("i", "c", "atr14"), "i").alias("x")).select("symbol", "x.*")
     ends = last.select("symbol", "i", "c", F.coalesce("atr14", 0.005 * F.col("c")).alias("atr"))
-    found = trendlines.lines(bars, ends.select("symbol", (F.col("atr") * 0.5).alias("tolerance")))
+    found = trendlines.lines(structure.pivots(bars), ends.select("symbol", (F.col("atr") * 0.5).alias("tolerance")))
     return trendlines.line_signal(found, trendlines.channels(found, ends), ends)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "regime_states": _query(lambda b: learning.committed(_keyed(b))),
     "seeded_draws": _query(_drawn),
     "model_latest": _query(lambda b: learning.newest_model(_models(b), ["symbol", "kind"])),
     "model_champion": _query(lambda b: learning.newest_model(_models(b), ["symbol"], role="champion")),
@@ -87,17 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scanner": lambda spark, sf_dir: _rounded(scanner.scanned(load(spark, sf_dir))),
 }
 
-_STATES = f"""{_REC}, rk AS MATERIALIZED (SELECT symbol, i, key, row_number() OVER ({_S}) AS n FROM (SELECT symbol, i,
-CASE WHEN adx14 IS NOT NULL AND atr14 IS NOT NULL THEN CASE WHEN adx14 >= 40 THEN 'strong' WHEN adx14 >= 25 THEN 'moderate' ELSE 'weak' END || '-' ||
-CASE WHEN atr14 / c <= 0.003::DOUBLE THEN 'low' WHEN atr14 / c >= 0.015::DOUBLE THEN 'high' ELSE 'normal' END END AS key FROM rec) WHERE key IS NOT NULL),
-fs(symbol, n, cur, pend, waited) AS (SELECT symbol, n, key, CAST(NULL AS VARCHAR), 0 FROM rk WHERE n = 1 UNION ALL
-SELECT rk.symbol, rk.n, CASE WHEN key <> cur AND key = pend AND waited = 2 THEN key ELSE cur END,
-CASE WHEN key = cur OR (key = pend AND waited = 2) THEN NULL ELSE key END,
-CASE WHEN key = cur OR (key = pend AND waited = 2) THEN 0 WHEN key = pend THEN waited + 1 ELSE 1 END
-FROM fs JOIN rk ON rk.symbol = fs.symbol AND rk.n = fs.n + 1)
-SELECT symbol, i, key, cur AS state, COALESCE(cur <> LAG(cur) OVER ({_S}), true) AS entered FROM fs JOIN rk USING (symbol, n)"""
-
-
 def _times(a: str, b: str) -> str:
     return f"CAST((CAST({a} AS HUGEINT) * CAST({b} AS HUGEINT)) % 4294967296 AS BIGINT)"
 
@@ -125,7 +104,6 @@ def _newest(sql: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "regime_states": _STATES,
     "seeded_draws": _DRAWS,
     "model_latest": f"{_MODELS} SELECT symbol, kind, MAX(created_at) AS created_at, ARG_MAX(version, created_at) AS version FROM md GROUP BY symbol, kind",
     "model_champion": f"{_MODELS} SELECT symbol, created_at, version FROM md WHERE role = 'champion' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY created_at DESC) = 1",

@@ -88,15 +88,20 @@ def _triangles(pivots: DataFrame, ends: DataFrame) -> DataFrame:
     return _shown(rows, ("Ascending Triangle", "Descending Triangle"), ("bullish", "bearish"), F.when(s > 0, 3).otherwise(4))
 
 
-def chart_patterns(bars: DataFrame) -> DataFrame:
-    """COLUMNS of every pattern of each symbol with eight bars or more, against its newest bar. Distances are in shares of
-    half a percent of the close."""
-    ends = bars.groupBy("symbol").agg(F.max("i").alias("last_i"), F.max_by("c", "i").alias("last_c")).where("last_i >= 7")
-    ends = ends.withColumn("atr", F.greatest(F.lit(1e-9), F.abs("last_c") * 0.005))
-    pivots = structure.pivots(bars).select("symbol", "i", "kind", "price")
+def detected(pivots: DataFrame, ends: DataFrame) -> DataFrame:
+    """COLUMNS of every pattern against each symbol's end. pivots: (symbol, i, kind, price); ends: (symbol, last_i, last_c,
+    atr), of symbols with eight bars or more; atr null or 0: half a percent of the close."""
+    usable = F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.greatest(F.lit(1e-9), F.abs("last_c") * 0.005))
+    ends = ends.where("last_i >= 7").withColumn("atr", usable)
     return _shoulders(pivots, ends).union(_tops(pivots, ends)).union(_triangles(pivots, ends))
 
 
+def chart_patterns(recurrent: DataFrame) -> DataFrame:
+    """``detected`` against each symbol's newest bar and its mean range. Takes bars with atr14."""
+    ends = recurrent.groupBy("symbol").agg(F.max("i").alias("last_i"), F.max_by("c", "i").alias("last_c"), F.max_by("atr14", "i").alias("atr"))
+    return detected(structure.pivots(recurrent).select("symbol", "i", "kind", "price"), ends)
+
+
 def newest(patterns: DataFrame) -> DataFrame:
     """The pattern that comes first in each symbol: newest, then surest, then by detector."""
     order = Window.partitionBy("symbol").orderBy(F.desc("at_bar"), F.desc("confidence"), "detector")

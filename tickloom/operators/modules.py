@@ -4,12 +4,21 @@ A module gives a signal within -1 and 1 and a confidence within 0 and 1; missing
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .regime import clamp, doubles, staged
 
-#: Values that several modules use.
+#: The modules' categories.
+CATEGORIES = {
+    "trend-follow": "trend", "mean-reversion": "mean-reversion", "momentum": "momentum", "breakout": "structure", "support-resistance": "levels",
+    "volatility-regime": "volatility", "volume-profile": "volume", "candle-patterns": "patterns", "order-blocks": "smc", "liquidity": "smc",
+    "premium-discount": "smc", "session-calendar": "context", "cisd": "smc", "trendline": "structure", "chart-patterns": "structure",
+}
+
+#: Values that several modules use. All thresholds and weights here are fixed values.
 SHARED: list[dict[str, str]] = [
     {
         "side": "CASE alignment WHEN 'bullish-stack' THEN 1.0 WHEN 'bearish-stack' THEN -1.0 WHEN 'mixed' THEN 0.0 END",
@@ -29,7 +38,7 @@ SHARED: list[dict[str, str]] = [
         "cmf_sign": "CASE WHEN cmf20 > 0.05 THEN 1.0 WHEN cmf20 < -0.05 THEN -1.0 ELSE 0.0 END",
         "surge": "CASE WHEN v / nullif(v20_before, 0.0) >= 1.5 THEN 1.0 ELSE 0.0 END",
         "pat_age": "i - pat_i",
-        "multiplier": "CASE WHEN session = 'off-hours' THEN 0.6 WHEN session IN ('london', 'ny-am') THEN 1.1 ELSE 1.0 END",
+        "multiplier": "CASE WHEN session = 'off-hours' THEN 0.6 WHEN session IN ('london', 'ny-am') THEN 1.1 ELSE 1.0 END * CASE WHEN in_event THEN 0.4 ELSE 1.0 END",
         "swept_age": "i - swept_i",
         "block_side": "CASE block_dir WHEN 'bull' THEN 1.0 WHEN 'bear' THEN -1.0 END",
         "block_fresh": "CASE WHEN i - block_i <= 5 THEN 1.0 WHEN i - block_i <= 20 THEN 0.7 WHEN i - block_i <= 50 THEN 0.4 ELSE 0.2 END",
@@ -58,7 +67,7 @@ SHARED: list[dict[str, str]] = [
         "flow_side": "CASE WHEN obv_sign <> 0 THEN obv_sign ELSE cmf_sign END",
         "pat_side": "CASE WHEN pat_bull = 1 AND (pat_bear = 0 OR bullish > bearish OR (bullish = bearish AND bull_at < bear_at)) THEN 1.0 WHEN pat_bear = 1 THEN -1.0 END",
         "pat_score": "CASE WHEN pat_bull = 1 AND pat_bear = 1 THEN greatest(bullish, bearish) WHEN pat_bull = 1 THEN bullish WHEN pat_bear = 1 THEN bearish END",
-        "pool_side": "CASE WHEN pool_up < coalesce(pool_down, pool_up + 1.0) AND pool_up < 8.0 * coalesce(atr14, 0.005 * c) THEN 1.0 WHEN pool_down <= coalesce(pool_up, pool_down) AND pool_down < 8.0 * coalesce(atr14, 0.005 * c) THEN -1.0 END",
+        "pool_side": "CASE WHEN pool_up < coalesce(pool_down, pool_up + 1.0) AND pool_up < 8.0 * coalesce(atr14, 0.005 * c) THEN 1.0 WHEN pool_down < coalesce(pool_up, pool_down + 1.0) AND pool_down < 8.0 * coalesce(atr14, 0.005 * c) THEN -1.0 END",
     },
 ]
 
@@ -120,7 +129,10 @@ MODULES: list[tuple[str, float, str, str]] = [
         "CASE zone WHEN 'discount' THEN 0.2 + 0.4 * rank_of WHEN 'premium' THEN -(0.2 + 0.4 * rank_of) ELSE 0.0 END",
         "CASE WHEN zone IN ('discount', 'premium') THEN 0.25 + 0.35 * rank_of WHEN zone IS NOT NULL THEN 0.1 END",
     ),
-    ("session-calendar", 0.5, "0.0", "CASE WHEN session = 'off-hours' THEN 0.1 WHEN session IN ('london', 'ny-am') THEN 0.25 ELSE 0.2 END"),
+    ("session-calendar", 0.5, "0.0", "CASE WHEN session = 'off-hours' THEN 0.1 WHEN session IN ('london', 'ny-am') THEN 0.25 ELSE 0.2 END - CASE WHEN in_event THEN 0.15 ELSE 0.0 END"),
+    ("cisd", 1.1, "cisd_signal", "cisd_confidence"),
+    ("trendline", 1.0, "line_signal", "line_confidence"),
+    ("chart-patterns", 1.0, "chart_signal", "chart_confidence"),
 ]
 
 
@@ -128,21 +140,38 @@ def bounded(signal: str, confidence: str) -> tuple[str, str]:
     return doubles(f"coalesce({clamp(signal)}, 0.0)") if signal != "0.0" else doubles("0.0"), doubles(f"coalesce({clamp(confidence, '0.0')}, 0.0)")
 
 
-def evaluate(snapshot: DataFrame) -> DataFrame:
-    """(symbol, module, weight, signal, confidence, applied, direction): every module for every symbol. ``applied``
-    is the confidence after the session's multiplier."""
+def evaluate(snapshot: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(keys, module, weight, signal, confidence, applied, direction): every module for every row. ``applied`` is the
+    confidence after the session's multiplier, which is less in an event's window (``in_event``, if snapshot has it)."""
+    if "in_event" not in snapshot.columns:
+        snapshot = snapshot.withColumn("in_event", F.lit(False))
     rows = staged(snapshot, SHARED)
     made = [F.struct(F.lit(name).alias("module"), F.lit(weight).alias("weight"), *(F.expr(x).alias(k) for k, x in zip(("signal", "confidence"), bounded(signal, confidence), strict=True))) for name, weight, signal, confidence in MODULES]
-    long = rows.select("symbol", "multiplier", F.explode(F.array(*made)).alias("m")).select("symbol", "multiplier", "m.*")
+    long = rows.select(*keys, "multiplier", F.explode(F.array(*made)).alias("m")).select(*keys, "multiplier", "m.*")
     applied = F.when(F.col("module") == "session-calendar", F.col("confidence")).otherwise(F.least(F.lit(1.0), F.col("confidence") * F.col("multiplier")))
     side = F.when(F.col("signal") > 0.05, "long").when(F.col("signal") < -0.05, "short").otherwise("neutral")
-    return long.select("symbol", "module", "weight", "signal", "confidence", applied.alias("applied"), side.alias("direction"))
+    return long.select(*keys, "module", "weight", "signal", "confidence", applied.alias("applied"), side.alias("direction"))
+
+
+def listed(signals: DataFrame, only: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """The signals of the modules in ``only`` (all, if None) that are not in ``exclude``."""
+    if only is not None:
+        signals = signals.where(F.col("module").isin(only))
+    return signals.where(~F.col("module").isin(exclude)) if exclude else signals
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """(place, module, category, weight) of every module, in order."""
+    rows = [(k, name, CATEGORIES[name], float(weight)) for k, (name, weight, _, _) in enumerate(MODULES)]
+    return spark.createDataFrame(rows, "place int, module string, category string, weight double")
 
 
-def ensemble(signals: DataFrame) -> DataFrame:
-    """(symbol, raw_score, confidence, participating, probability, direction): the modules that have something to say,
-    by weight."""
+def ensemble(signals: DataFrame, keys: tuple[str, ...] = ("symbol",), calibrated: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(keys, raw_score, confidence, participating, probability, direction): the modules that have something to say, by
+    weight. calibrated: a probability from a score, held within 0 and 1; else the logistic curve of three times the score."""
     heard = signals.where("applied >= 0.05 OR abs(signal) >= 0.1")
-    sums = heard.groupBy("symbol").agg((F.sum(F.col("signal") * F.col("applied") * F.col("weight")) / F.sum("weight")).alias("raw_score"), F.avg("applied").alias("confidence"), F.count("*").alias("participating"))
-    scored = sums.withColumn("probability", 1.0 / (1.0 + F.exp(-3.0 * F.col("raw_score"))))
+    sums = heard.groupBy(*keys).agg((F.sum(F.col("signal") * F.col("applied") * F.col("weight")) / F.sum("weight")).alias("raw_score"), F.avg("applied").alias("confidence"), F.count("*").alias("participating"))
+    score = F.col("raw_score")
+    probability = 1.0 / (1.0 + F.exp(-3.0 * score)) if calibrated is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), calibrated(score)))
+    scored = sums.withColumn("probability", probability)
     return scored.withColumn("direction", F.when(F.col("probability") > 0.55, "long").when(F.col("probability") < 0.45, "short").otherwise("neutral"))

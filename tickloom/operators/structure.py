@@ -41,23 +41,36 @@ def trend(candles: DataFrame) -> DataFrame:
     return both.select("symbol", named.alias("trend"))
 
 
+def broken(candles: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """candles with what each bar breaks and what is left to be broken after it: pivot_high and pivot_low, high_left
+    and low_left (the newest pivot of a kind, unless broken), side (1 or -1 at a bar whose close is beyond one), was
+    (the side of the last break before) and level.
+
+    A pivot is broken by the first close beyond it before the next pivot of its kind, so counts of such closes since the pivot
+    tell; one window over the symbol's bars serves them all. A close beyond both breaks the high one only."""
+    upto, before = series().rowsBetween(Window.unboundedPreceding, 0), series().rowsBetween(Window.unboundedPreceding, -1)
+    rows = marked(candles, left, right).withColumns({"_high": F.last("pivot_high", True).over(upto), "_low": F.last("pivot_low", True).over(upto)})
+
+    def first_beyond(rows: DataFrame, kind: str, beyond: Column) -> DataFrame:
+        """_up or _down: how many closes were beyond the newest pivot since it stood there."""
+        name, pivot = ("_up", "pivot_high") if kind == "high" else ("_down", "pivot_low")
+        rows = rows.withColumn("_hit", F.coalesce(beyond, F.lit(False)).cast("int")).withColumn("_hits", F.sum("_hit").over(upto))
+        since = F.col("_hits") - F.last(F.when(F.col(pivot).isNotNull(), F.col("_hits") - F.col("_hit")), True).over(upto)
+        return rows.withColumns({name: since, f"{name}_now": (F.col("_hit") == 1) & (since == 1)}).drop("_hit", "_hits")
+
+    rows = first_beyond(rows, "high", F.col("c") > F.col("_high"))
+    rows = first_beyond(rows, "low", (F.col("c") < F.col("_low")) & ~F.coalesce("_up_now", F.lit(False)))
+    rows = rows.withColumn("side", F.when(F.col("_up_now"), 1).when(F.col("_down_now"), -1))
+    made = {"was": F.last("side", True).over(before), "level": F.when(F.col("side") == 1, F.col("_high")).when(F.col("side") == -1, F.col("_low"))}
+    left_over = {"high_left": F.when(F.col("_up") == 0, F.col("_high")), "low_left": F.when(F.col("_down") == 0, F.col("_low"))}
+    return rows.withColumns({**made, **left_over}).drop("_high", "_low", "_up", "_down", "_up_now", "_down_now")
+
+
 def breaks(candles: DataFrame) -> DataFrame:
     """(symbol, i, type, dir, level): closes beyond the newest unbroken pivot; CHoCH against the last break's
     direction, else BoS. One event a bar, upward first; a broken pivot is used up."""
-
-    def each(bars: pd.DataFrame) -> pd.DataFrame:
-        levels, side, found = {1: None, -1: None}, 0, []
-        for i, c, high, low in bars.sort_values("i")[["i", "c", "pivot_high", "pivot_low"]].itertuples(index=False):
-            for way, price in ((1, high), (-1, low)):
-                levels[way] = price if price == price and price is not None else levels[way]
-            for way in (1, -1):
-                if levels[way] is not None and (c - levels[way]) * way > 0:
-                    found.append((bars["symbol"].iloc[0], i, "CHoCH" if side == -way else "BoS", "up" if way > 0 else "down", levels[way]))
-                    side, levels[way] = way, None
-                    break
-        return pd.DataFrame(found, columns=["symbol", "i", "type", "dir", "level"])
-
-    return marked(candles).select("symbol", "i", "c", "pivot_high", "pivot_low").groupBy("symbol").applyInPandas(each, "symbol string, i int, type string, dir string, level double")
+    kind = F.when(F.col("was") == -F.col("side"), "CHoCH").otherwise("BoS")
+    return broken(candles).where("side IS NOT NULL").select("symbol", "i", kind.alias("type"), F.when(F.col("side") == 1, "up").otherwise("down").alias("dir"), "level")
 
 
 def _first_overlap(zones: DataFrame, candles: DataFrame) -> DataFrame:
@@ -80,23 +93,37 @@ def order_blocks(recurrent: DataFrame, impulse: float = 1.5, ahead: int = 3) ->
     return _first_overlap(zones, recurrent)
 
 
-def equal_levels(candles: DataFrame, tolerances: DataFrame, touches: int = 2) -> DataFrame:
+def pools(found: DataFrame, touches: int = 2) -> DataFrame:
     """(symbol, kind, price, touches, last_i): pivots of a kind by price, joined to a level while within the
-    symbol's tolerance of its mean so far; levels with enough touches. tolerances: (symbol, tolerance)."""
+    tolerance of its mean so far; levels with enough touches. found: (symbol, kind, i, price, tolerance).
+
+    A mean never exceeds the prices that made it, so prices further apart than the tolerance never join: only runs without such a
+    step are walked one by one."""
+    by_price = Window.partitionBy("symbol", "kind").orderBy("price", "i")
+    apart = F.coalesce((F.col("price") - F.lag("price").over(by_price) > F.col("tolerance")).cast("int"), F.lit(0))
+    runs = found.where("tolerance > 0").withColumn("apart", apart).withColumn("run", F.sum("apart").over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
+    points = runs.groupBy("symbol", "kind", "run").agg(F.array_sort(F.collect_list(F.struct("price", "i", "tolerance"))).alias("points"))
 
-    def each(points: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        for i, price, tolerance in points.sort_values(["price", "i"])[["i", "price", "tolerance"]].itertuples(index=False):
-            if groups and abs(price - groups[-1][0] / groups[-1][1]) <= tolerance:
-                total, n, last = groups[-1]
-                groups[-1] = [total + price, n + 1, max(last, i)]
-            else:
-                groups.append([price, 1, i])
-        one = points.iloc[0]
-        return pd.DataFrame([(one["symbol"], one["kind"], s / n, n, i) for s, n, i in groups if n >= touches], columns=["symbol", "kind", "price", "touches", "last_i"])
+    def level(total: Column, n: Column, last: Column) -> Column:
+        return F.array(F.struct((total / n).alias("price"), n.alias("touches"), last.alias("last_i")))
 
-    found = pivots(candles).join(tolerances.where("tolerance > 0"), "symbol")
-    return found.select("symbol", "kind", "i", "price", "tolerance").groupBy("symbol", "kind").applyInPandas(each, "symbol string, kind string, price double, touches int, last_i int")
+    def join(so_far: Column, p: Column) -> Column:
+        total, n, last = so_far["total"], so_far["n"], so_far["last"]
+        near = F.abs(p["price"] - total / n) <= p["tolerance"]
+        grown = F.struct(so_far["done"].alias("done"), (total + p["price"]).alias("total"), (n + 1).alias("n"), F.greatest(last, p["i"]).alias("last"))
+        fresh = F.struct(F.concat(so_far["done"], level(total, n, last)).alias("done"), p["price"].alias("total"), F.lit(1).alias("n"), p["i"].alias("last"))
+        return F.when(near, grown).otherwise(fresh)
+
+    one = F.col("points")[0]
+    none = F.slice(level(one["price"], F.lit(1), one["i"]), 1, 0)
+    begun = F.struct(none.alias("done"), one["price"].alias("total"), F.lit(1).alias("n"), one["i"].alias("last"))
+    walked = F.aggregate(F.slice("points", 2, F.size("points")), begun, join, lambda x: F.concat(x["done"], level(x["total"], x["n"], x["last"])))
+    return points.select("symbol", "kind", F.inline(walked)).where(F.col("touches") >= touches)
+
+
+def equal_levels(candles: DataFrame, tolerances: DataFrame, touches: int = 2) -> DataFrame:
+    """``pools`` of the symbols' pivots. tolerances: (symbol, tolerance)."""
+    return pools(pivots(candles).join(tolerances, "symbol"), touches)
 
 
 def sweeps(candles: DataFrame, levels: DataFrame) -> DataFrame:
@@ -129,8 +156,8 @@ def session_stats(candles: DataFrame) -> DataFrame:
     return tagged.groupBy("symbol", "session").agg(F.count("*").alias("bars"), F.avg(F.col("h") - F.col("l")).alias("avg_range"), F.avg("v").alias("avg_volume"))
 
 
-def candle_patterns(candles: DataFrame) -> DataFrame:
-    """(symbol, i, patterns): names of the patterns that end at each bar, in a fixed order; bars with any."""
+def patterned(candles: DataFrame) -> DataFrame:
+    """candles with patterns: names of the patterns that end at each bar, in a fixed order, comma-joined."""
     p = {k: F.lag(k, 1).over(series()) for k in "ohlc"}
     q = {k: F.lag(k, 2).over(series()) for k in "ohlc"}
     bars = candles.withColumns({f"{k}1": p[k] for k in "ohlc"} | {f"{k}2": q[k] for k in "ohlc"})
@@ -151,7 +178,12 @@ def candle_patterns(candles: DataFrame) -> DataFrame:
         "eveningStar": (c("c2") > c("o2")) & small1 & bear & (c("c") < (c("o2") + c("c2")) / 2),
     }
     names = F.array_join(F.array(*(F.when(rule, name) for name, rule in rules.items())), ",")
-    return bars.select("symbol", "i", names.alias("patterns")).where("patterns <> ''")
+    return bars.select(*candles.columns, names.alias("patterns"))
+
+
+def candle_patterns(candles: DataFrame) -> DataFrame:
+    """(symbol, i, patterns): bars at which any pattern ends."""
+    return patterned(candles).select("symbol", "i", "patterns").where("patterns <> ''")
 
 
 def volume_profile(candles: DataFrame, buckets: int = 24, lookback: int = 200) -> DataFrame:
@@ -166,11 +198,9 @@ def volume_profile(candles: DataFrame, buckets: int = 24, lookback: int = 200) -
     return grid.join(sums, ["symbol", "bucket"], "left").fillna(0.0, ["volume", "up", "down"])
 
 
-def levels(candles: DataFrame, tolerance: float = 0.5, half_life: int = 500, tolerances: DataFrame | None = None) -> DataFrame:
-    """(symbol, price, touches, kinds, strength): pivots clustered where the next price is within ``tolerance`` (or
-    that of the symbol in tolerances); the median price, and touches that halve in weight every half_life bars of age."""
-    found = pivots(candles)
-    found = found.withColumn("tolerance", F.lit(tolerance)) if tolerances is None else found.join(tolerances, "symbol")
+def clustered(found: DataFrame, half_life: int = 500) -> DataFrame:
+    """(symbol, price, touches, kinds, strength): pivots clustered where the next price is within the tolerance; the median
+    price, and touches that halve in weight every half_life bars of age. found: (symbol, i, kind, price, tolerance)."""
     newest = F.max("i").over(Window.partitionBy("symbol"))
     by_price = Window.partitionBy("symbol").orderBy("price", "i", "kind")
     apart = F.coalesce((F.col("price") - F.lag("price").over(by_price) > F.col("tolerance")).cast("int"), F.lit(0))
@@ -179,6 +209,19 @@ def levels(candles: DataFrame, tolerance: float = 0.5, half_life: int = 500, tol
     return islands.groupBy("symbol", "island").agg(F.median("price").alias("price"), F.count("*").alias("touches"), kinds.alias("kinds"), F.sum(F.pow(F.lit(0.5), F.col("age") / half_life)).alias("strength")).drop("island")
 
 
+def levels(candles: DataFrame, tolerance: float = 0.5, half_life: int = 500, tolerances: DataFrame | None = None) -> DataFrame:
+    """``clustered`` pivots, ``tolerance`` apart (or as far as the symbol's in tolerances)."""
+    found = pivots(candles)
+    found = found.withColumn("tolerance", F.lit(tolerance)) if tolerances is None else found.join(tolerances, "symbol")
+    return clustered(found, half_life)
+
+
+def strongest(found: DataFrame, most: int = 20) -> DataFrame:
+    """The ``most`` levels of each symbol of the greatest strength, the cheaper of equals."""
+    order = Window.partitionBy("symbol").orderBy(F.desc("strength"), "price")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
 def premium_discount(candles: DataFrame) -> DataFrame:
     """(symbol, high, low, pct, zone): where the last close lies between the newest high and low pivots."""
     ends = pivots(candles).groupBy("symbol").agg(F.max_by("price", F.when(F.col("kind") == "high", F.col("i"))).alias("high"), F.max_by("price", F.when(F.col("kind") == "low", F.col("i"))).alias("low"))

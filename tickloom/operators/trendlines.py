@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import structure
 
-
-def lines(candles: DataFrame, tolerances: DataFrame, lookback: int = 8, least: int = 3) -> DataFrame:
+def lines(pivots: DataFrame, tolerances: DataFrame, lookback: int = 8, least: int = 3) -> DataFrame:
     """(symbol, kind, slope, intercept, r2, touches, score, sigma): least squares through a symbol's last
     ``lookback`` pivots of a kind, if there are ``least``. touches: points within the symbol's tolerance of the line;
-    score: r2 by touches, full at four. tolerances: (symbol, tolerance)."""
+    score: r2 by touches, full at four. pivots: (symbol, i, kind, price); tolerances: (symbol, tolerance)."""
     of_kind = Window.partitionBy("symbol", "kind")
     rank = F.row_number().over(of_kind.orderBy(F.desc("i")))
-    points = structure.pivots(candles).withColumn("rank", rank).where(F.col("rank") <= lookback).withColumn("i", F.col("i").cast("double"))
+    points = pivots.withColumn("rank", rank).where(F.col("rank") <= lookback).withColumn("i", F.col("i").cast("double"))
     means = points.withColumns({"mx": F.avg("i").over(of_kind), "my": F.avg("price").over(of_kind), "n": F.count("*").over(of_kind)}).where(F.col("n") >= least)
     dx, dy = F.col("i") - F.col("mx"), F.col("price") - F.col("my")
     sums = means.withColumns({"sxx": F.sum(dx * dx).over(of_kind), "sxy": F.sum(dx * dy).over(of_kind), "syy": F.sum(dy * dy).over(of_kind)})

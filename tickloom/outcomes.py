@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .decisions import _REC, _rounded
 from .functions import indicators as I
-from .operators import labels, macro, trendlines, validation
+from .operators import labels, macro, structure, trendlines, validation
 from .plans import backtest
 from .queries import _PIVOT, _S, _WITH, _bars, _w
 from .sources import candles
@@ -40,7 +40,7 @@ def _mistakes(bars: DataFrame) -> DataFrame:
 def _lines(bars: DataFrame, joined: bool) -> DataFrame:
     last = I.recurrences(bars).groupBy("symbol").agg(F.max_by(F.struct("i", "c", "atr14"), "i").alias("x")).select("symbol", "x.*")
     ends = last.select("symbol", "i", "c", F.coalesce("atr14", 0.005 * F.col("c")).alias("atr"))
-    found = trendlines.lines(bars, ends.select("symbol", (F.col("atr") * 0.5).alias("tolerance")))
+    found = trendlines.lines(structure.pivots(bars), ends.select("symbol", (F.col("atr") * 0.5).alias("tolerance")))
     return trendlines.channels(found, ends) if joined else found
 
 

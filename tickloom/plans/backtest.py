@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import indicators as I
+from ..operators import modules
 from ..sources.candles import series
+from . import asof
+
+#: Bars that are walked, bars before the first call, and bars that a symbol needs.
+BARS, WARMUP, LEAST = 500, 200, 250
 
 
 def directed(candles: DataFrame) -> DataFrame:
@@ -48,3 +53,29 @@ def measures(made: DataFrame) -> DataFrame:
         F.stddev_pop(own).alias("spread"),
     )
     return sums.withColumn("sharpe", F.when(F.col("spread") > 0, F.col("mean") / F.when(F.col("spread") > 0, F.col("spread")) * math.sqrt(252)).otherwise(0.0)).drop("mean", "spread")
+
+
+def newest_bars(candles: DataFrame, most: int) -> DataFrame:
+    """Each symbol's newest ``most`` bars, numbered anew."""
+    cut = candles.withColumn("cut", F.greatest(F.lit(0), F.max("i").over(Window.partitionBy("symbol")) + 1 - most))
+    return cut.where("i >= cut").withColumn("i", (F.col("i") - F.col("cut")).cast("int")).drop("cut")
+
+
+def walk_forward(candles: DataFrame, most: int = BARS, warmup: int = WARMUP, least: int = LEAST) -> DataFrame:
+    """(symbol, i, direction, probability, realized, hit, ret, pnl, regime): the ensemble's call at every bar from ``warmup``
+    to the one before the last, made from what was known then (see ``asof``) and held against the next close. The reach is the
+    feature's own: a walk is over a symbol's newest ``most`` bars, and symbols with fewer than ``least`` have none."""
+    enough = newest_bars(candles, most).withColumn("bars", F.count("*").over(Window.partitionBy("symbol"))).where(F.col("bars") >= least).drop("bars")
+    known = asof.states(enough, lambda rows: rows.where((F.col("i") >= warmup) & F.col("newer").isNotNull()))
+    keys = ("symbol", "i")
+    called = modules.ensemble(modules.evaluate(known, keys), keys).select(*keys, "direction", "probability")
+    named = known.select(*keys, F.concat_ws("-", "trend", "strength").alias("regime"))
+    bars = enough.join(called, list(keys), "left").withColumn("direction", F.coalesce("direction", F.lit("neutral")))
+    rated = F.coalesce("probability", F.lit(0.5)).alias("probability")
+    return trades(bars, warmup).join(called.select(*keys, rated), list(keys), "left").join(named, list(keys))
+
+
+def by_regime(made: DataFrame) -> DataFrame:
+    """(symbol, regime, total, hits): calls that take a side, by the regime they were made in."""
+    called = F.col("direction") != "neutral"
+    return made.groupBy("symbol", "regime").agg(F.count_if(called).alias("total"), F.count_if(called & F.col("hit")).alias("hits"))

@@ -2,70 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from .asof import features, newest
 
-from ..functions import indicators as I
-from ..operators import regime, structure
-from ..sources.candles import series
-
-BULLISH = ("bullEngulf", "hammer", "morningStar")
-BEARISH = ("bearEngulf", "eveningStar")
-
-
-def features(candles: DataFrame) -> DataFrame:
-    """Bars with recurrences and rolling indicators; one shuffle by symbol, its order kept by all windows."""
-    w = series()
-    up, mid, low = I.bollinger(F.col("c"))
-    bars = I.volume_slope(I.obv(I.recurrences(candles)))
-    bars = bars.withColumns({"bb_up": up, "bb_mid": mid, "bb_low": low, "roc10": I.roc(F.col("c"), 10), "cmf20": I.cmf(), "bull30": I.bull_share(), "v20": F.avg("v").over(I.rows(20)), "v20_before": F.avg("v").over(w.rowsBetween(-20, -1)), "session": structure.session(F.pmod("t", F.lit(24)))})
-    width = (F.col("bb_up") - F.col("bb_low")) / F.when(F.col("bb_mid") != 0, F.col("bb_mid"))
-    lagged = {"obv20": F.lag("obv", 20).over(w), "hist0": F.col("macd_hist"), "hist1": F.lag("macd_hist", 1).over(w), "hist2": F.lag("macd_hist", 2).over(w)}
-    bars = bars.withColumns({"bw": width, **lagged})
-    return bars.withColumn("width50", F.when(F.count("bw").over(I.rows(50)) == 50, F.avg("bw").over(I.rows(50)))).drop("bw")
-
-
-def _newest(rows: DataFrame, by: str, **columns: str) -> DataFrame:
-    """For each symbol the given columns of the row that is largest by ``by``."""
-    best = rows.groupBy("symbol").agg(F.max_by(F.struct(*(F.col(c).alias(n) for n, c in columns.items())), by).alias("x"))
-    return best.select("symbol", "x.*")
-
-
-def newest(candles: DataFrame) -> DataFrame:
-    """One row for each symbol: its newest bar's features, swing trend, last break, levels around the close, zone,
-    newest candle patterns, nearest open order block, last sweep and pools. All aggregates are by symbol. Bars are
-    persisted (memory, then disk), as every part reads them."""
-    candles = bars = features(candles).persist()
-    last = bars.groupBy("symbol").agg(F.max_by(F.struct(*(c for c in bars.columns if c != "symbol")), "i").alias("x")).select("symbol", "x.*")
-    here = last.select("symbol", F.col("c").alias("close"), F.col("atr14").alias("range"))
-    tolerances = lambda share: here.select("symbol", F.coalesce(F.col("range") * share, F.col("close") * share / 100.0).alias("tolerance"))
-
-    volumes = bars.select("symbol", "i", F.col("v").alias("break_v"), F.col("v20").alias("break_v20"))
-    broken = _newest(structure.breaks(candles), "i", break_i="i", break_type="type", break_dir="dir").join(volumes.withColumnRenamed("i", "break_i"), ["symbol", "break_i"])
-
-    around = structure.levels(candles, tolerances=tolerances(0.5)).join(here, "symbol")
-    below, above = F.when(F.col("price") <= F.col("close"), F.struct("price", "strength")), F.when(F.col("price") >= F.col("close"), F.struct("price", "strength"))
-    ends = around.groupBy("symbol").agg(F.max(below).alias("s"), F.min(above).alias("r")).select("symbol", F.col("s.price").alias("support"), F.col("s.strength").alias("support_strength"), F.col("r.price").alias("resistance"), F.col("r.strength").alias("resistance_strength"))
-
-    found = _newest(structure.candle_patterns(candles), "i", pat_i="i", patterns="patterns").withColumn("p", F.split("patterns", ","))
-    first = lambda names: F.array_min(F.filter(F.array(*(F.array_position("p", n) for n in names)), lambda k: k > 0))
-    found = found.withColumns({"bull_at": first(BULLISH), "bear_at": first(BEARISH)}).select("symbol", "pat_i", "bull_at", "bear_at", F.when(F.col("bull_at").isNotNull(), 1).otherwise(0).alias("pat_bull"), F.when(F.col("bear_at").isNotNull(), 1).otherwise(0).alias("pat_bear"))
-
-    zones = structure.order_blocks(bars).join(here, "symbol").withColumn("block_tol", F.coalesce(F.col("range") * 0.25, F.col("close") * 0.0025))
-    c, tol, bottom, top = F.col("close"), F.col("block_tol"), F.col("bottom"), F.col("top")
-    away = F.when((c >= bottom - tol) & (c <= top + tol), 0.0).otherwise(F.least(F.abs(c - top), F.abs(c - bottom)))
-    unmet = F.col("mitigated_at").isNull()
-    near = zones.withColumn("block_dist", away).withColumn("in_reach", unmet & (F.col("block_dist") < 2 * tol))
-    best = F.min_by(F.struct("dir", "i", "block_dist"), F.when(F.col("in_reach"), F.struct("block_dist", "i")))
-    blocks = near.groupBy("symbol").agg(best.alias("b"), F.count("*").alias("blocks"), F.count_if(unmet).alias("open_blocks"), F.max("block_tol").alias("block_tol")).select("symbol", F.col("b.dir").alias("block_dir"), F.col("b.i").alias("block_i"), F.col("b.block_dist").alias("block_dist"), "block_tol", "blocks", "open_blocks")
-
-    pools = structure.sweeps(candles, structure.equal_levels(candles, tolerances(0.25))).join(here, "symbol")
-    swept = F.max_by(F.struct("kind", "swept_at"), F.when(F.col("swept_at").isNotNull(), F.struct(F.col("kind") == "low", F.col("price"))))
-    over, under = F.when((F.col("kind") == "high") & (F.col("price") > c), F.col("price")), F.when((F.col("kind") == "low") & (F.col("price") < c), F.col("price"))
-    liquid = pools.groupBy("symbol").agg(swept.alias("w"), F.min(over).alias("pool_high"), F.min_by("touches", over).alias("high_touches"), F.max(under).alias("pool_low"), F.max_by("touches", under).alias("low_touches")).select("symbol", F.col("w.kind").alias("swept_kind"), F.col("w.swept_at").alias("swept_i"), "pool_high", "high_touches", "pool_low", "low_touches")
-
-    swing = structure.trend(candles).withColumnRenamed("trend", "swing")
-    zone = structure.premium_discount(candles).select("symbol", "pct", "zone")
-    for part in (swing, broken, ends, found, blocks, liquid, zone):
-        last = last.join(part, "symbol", "left")
-    return regime.classify(last)
+__all__ = ["features", "newest"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .charts_sql import _GRADE, ALL, CHARTS
 from .decisions import _REC, _rounded
 from .functions import indicators as I
 from .operators import chart_patterns, ledger, macro, structure, validation
@@ -67,8 +68,8 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "chart_patterns": _query(chart_patterns.chart_patterns),
-    "chart_pattern_newest": _query(lambda b: chart_patterns.newest(chart_patterns.chart_patterns(b))),
+    "chart_patterns": _query(lambda b: chart_patterns.chart_patterns(I.recurrences(b))),
+    "chart_pattern_newest": _query(lambda b: chart_patterns.newest(chart_patterns.chart_patterns(I.recurrences(b)))),
     "predictions_matching": _query(lambda b: ledger.matching(_predictions(b), kind="return", version="v1", regime=None, validated=False)),
     "predictions_due": _query(lambda b: ledger.due(_predictions(b), _NOW, kind="direction")),
     "predictions_drained": _query(lambda b: ledger.drained(_predictions(b), b, _NOW).select("symbol", "i", "close_at", "close", "state")),
@@ -92,44 +93,9 @@ _PR = f""", pd AS (SELECT symbol, i, t, ['direction', 'return', 'interval', 'set
 CASE i % 3 WHEN 1 THEN 'trend' WHEN 2 THEN 'range' END AS regime, i % 5 < 2 AS validated, t + 1 + i % 3 AS close_at FROM b)"""
 _CHANGES = """, ch AS (SELECT symbol, t, c + 1 AS c, 0 AS seq FROM b WHERE i % 7 = 0 UNION ALL SELECT symbol, t, c + 2, 1 FROM b WHERE i % 14 = 0
 UNION ALL SELECT symbol, MAX(t) + 1, ARG_MAX(c, t), 2 FROM b GROUP BY symbol)"""
-_ENDS = ", le AS (SELECT symbol, MAX(i) AS n, ARG_MAX(c, i) AS z, GREATEST(1e-9, ABS(ARG_MAX(c, i)) * 0.005::DOUBLE) AS atr FROM b GROUP BY symbol HAVING MAX(i) >= 7)"
-_GRADE = "CASE WHEN score >= 0.75 THEN 0.85::DOUBLE WHEN score >= 0.45 THEN 0.6::DOUBLE WHEN score >= 0.2 THEN 0.35::DOUBLE END"
-#: Each side is written out by itself.
-_HS = f""", hp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i DESC, kind DESC) AS back FROM f),
-h5 AS (SELECT symbol, kind k1, price p1, LEAD(kind) OVER w k2, LEAD(i) OVER w i2, LEAD(price) OVER w p2, LEAD(kind, 2) OVER w k3, LEAD(i, 2) OVER w i3, LEAD(price, 2) OVER w p3,
-LEAD(kind, 3) OVER w k4, LEAD(i, 3) OVER w i4, LEAD(price, 3) OVER w p4, LEAD(kind, 4) OVER w k5, LEAD(i, 4) OVER w i5, LEAD(price, 4) OVER w p5 FROM hp WHERE back <= 12 WINDOW w AS (PARTITION BY symbol ORDER BY i, kind)),
-h6 AS (SELECT *, (p4 - p2) / GREATEST(1, i4 - i2) AS m FROM h5 JOIN le USING (symbol) WHERE k1 = k3 AND k3 = k5 AND k2 = k4 AND k1 <> k2 AND ABS(p1 - p5) <= GREATEST(ABS(p1), ABS(p5)) * 0.04::DOUBLE),
-h7 AS (SELECT *, p2 + m * (n - i2) AS nl FROM h6),
-hs AS (SELECT symbol, 'Head & Shoulders' AS name, 'bearish' AS bias, nl - (p3 - (p2 + m * (i3 - i2))) AS target, p3 AS invalidation, i5 AS at_bar, n, z < nl - atr * 0.1::DOUBLE AS broken, nl AS neckline, 0 AS detector,
-0.4::DOUBLE + (1 - ABS(p1 - p5) / GREATEST(p1, p5)) * 0.25::DOUBLE + CASE WHEN z < nl - atr * 0.1::DOUBLE THEN 0.25::DOUBLE ELSE 0 END + LEAST(0.1::DOUBLE, (p3 - GREATEST(p1, p5)) / atr * 0.05::DOUBLE) AS score FROM h7 WHERE k1 = 'high' AND p3 > p1 + atr * 0.3::DOUBLE AND p3 > p5 + atr * 0.3::DOUBLE
-UNION ALL SELECT symbol, 'Inverse Head & Shoulders', 'bullish', nl + ((p2 + m * (i3 - i2)) - p3), p3, i5, n, z > nl + atr * 0.1::DOUBLE, nl, 0,
-0.4::DOUBLE + (1 - ABS(p1 - p5) / GREATEST(p1, p5)) * 0.25::DOUBLE + CASE WHEN z > nl + atr * 0.1::DOUBLE THEN 0.25::DOUBLE ELSE 0 END + LEAST(0.1::DOUBLE, (LEAST(p1, p5) - p3) / atr * 0.05::DOUBLE) FROM h7 WHERE k1 = 'low' AND p3 < p1 - atr * 0.3::DOUBLE AND p3 < p5 - atr * 0.3::DOUBLE)"""
-
-
-def _tops(kind: str, other: str, word: str, bias: str, least: str, less: str, sign: str, detector: int) -> str:
-    """Triple and double tops (or bottoms) of one kind of pivots."""
-    k = f"{kind}_"
-    pair = lambda a, b: f"ABS(p{a} - p{b}) <= GREATEST(ABS(p{a}), ABS(p{b})) * 0.025::DOUBLE AND i{b} - i{a} >= 4"
-    return f""", {k}1 AS (SELECT symbol, i, price, row_number() OVER (PARTITION BY symbol ORDER BY i DESC) AS r FROM f WHERE kind = '{kind}'),
-{k}2 AS (SELECT symbol, MAX(i) FILTER (r = 3) i1, MAX(price) FILTER (r = 3) p1, MAX(i) FILTER (r = 2) i2, MAX(price) FILTER (r = 2) p2, MAX(i) FILTER (r = 1) i3, MAX(price) FILTER (r = 1) p3 FROM {k}1 WHERE r <= 3 GROUP BY symbol HAVING MAX(r) >= 2),
-{k}3 AS (SELECT symbol, ANY_VALUE(COLUMNS({k}2.* EXCLUDE (symbol))), {least}(f.price) FILTER (f.i > i1 AND f.i < i2) AS t1, {least}(f.price) FILTER (f.i > i2 AND f.i < i3) AS t2 FROM {k}2 JOIN f USING (symbol) WHERE f.kind = '{other}' GROUP BY symbol),
-{k}4 AS (SELECT *, COALESCE(i1 IS NOT NULL AND {pair(1, 2)} AND {pair(2, 3)} AND {pair(1, 3)} AND t1 IS NOT NULL AND t2 IS NOT NULL, false) AS triple FROM {k}3 JOIN le USING (symbol)),
-{k}5 AS (SELECT *, CASE WHEN triple THEN {'LEAST' if least == 'MIN' else 'GREATEST'}(t1, t2) ELSE t2 END AS nl, CASE WHEN triple THEN (p1 + p2 + p3) / 3 ELSE (p2 + p3) / 2 END AS head FROM {k}4 WHERE triple OR ({pair(2, 3)} AND t2 IS NOT NULL)),
-{k}6 AS (SELECT *, z {less} nl {sign} atr * 0.1::DOUBLE AS broken FROM {k}5),
-{k}7 AS (SELECT symbol, CASE WHEN triple THEN 'Triple {word}' ELSE 'Double {word}' END AS name, '{bias}' AS bias, nl - (head - nl) AS target, head AS invalidation, i3 AS at_bar, n, broken, nl AS neckline, {detector} AS detector,
-CASE WHEN triple THEN 0.5::DOUBLE + (1 - ABS(p1 - p3) / GREATEST(p1, p3)) * 0.3::DOUBLE ELSE 0.45::DOUBLE + (1 - ABS(p2 - p3) / GREATEST(p2, p3)) * 0.3::DOUBLE END + CASE WHEN broken THEN 0.2::DOUBLE ELSE 0 END AS score FROM {k}6)"""
-
-
-_TRI = """, tt AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY i DESC) AS r FROM f),
-ts AS (SELECT symbol, kind, MAX(price) FILTER (r = 2) AS p1, MAX(price) FILTER (r = 1) AS p2, MAX(i) AS e, MIN(i) AS s, REGR_SLOPE(price, i) AS m FROM tt WHERE r <= 4 GROUP BY ALL HAVING COUNT(*) >= 2),
-tq AS (SELECT x.symbol, x.p1 AS hp1, x.p2 AS hp2, x.e AS he, x.s AS hs, x.m AS hm, y.p1 AS lp1, y.p2 AS lp2, y.e AS le_, y.s AS ls, y.m AS lm, n, z, atr FROM ts x JOIN ts y ON x.symbol = y.symbol JOIN le ON le.symbol = x.symbol WHERE x.kind = 'high' AND y.kind = 'low'),
-tr AS (SELECT symbol, 'Ascending Triangle' AS name, 'bullish' AS bias, (hp1 + hp2) / 2 + GREATEST(0, (hp1 + hp2) / 2 - lp2) AS target, lp2 AS invalidation, he AS at_bar, n, z > (hp1 + hp2) / 2 + atr * 0.1::DOUBLE AS broken, (hp1 + hp2) / 2 AS neckline, 3 AS detector,
-0.45::DOUBLE + LEAST(0.25::DOUBLE, lm * (le_ - ls) / atr) + CASE WHEN z > (hp1 + hp2) / 2 + atr * 0.1::DOUBLE THEN 0.2::DOUBLE ELSE 0 END AS score FROM tq WHERE ABS(hp1 - hp2) <= GREATEST(ABS(hp1), ABS(hp2)) * 0.02::DOUBLE AND lm > 0
-UNION ALL SELECT symbol, 'Descending Triangle', 'bearish', (lp1 + lp2) / 2 - GREATEST(0, hp2 - (lp1 + lp2) / 2), hp2, le_, n, z < (lp1 + lp2) / 2 - atr * 0.1::DOUBLE, (lp1 + lp2) / 2, 4,
-0.45::DOUBLE + LEAST(0.25::DOUBLE, -hm * (he - hs) / atr) + CASE WHEN z < (lp1 + lp2) / 2 - atr * 0.1::DOUBLE THEN 0.2::DOUBLE ELSE 0 END FROM tq WHERE ABS(lp1 - lp2) <= GREATEST(ABS(lp1), ABS(lp2)) * 0.02::DOUBLE AND hm < 0)"""
-_CP = f"""{_WITH}{_PIVOT}{_ENDS}{_HS}{_tops('high', 'low', 'Top', 'bearish', 'MIN', '<', '-', 1)}{_tops('low', 'high', 'Bottom', 'bullish', 'MAX', '>', '+', 2)}{_TRI},
-cp AS (SELECT symbol, name, bias, {_GRADE} AS confidence, ROUND(target, 6) AS target, ROUND(invalidation, 6) AS invalidation, at_bar, n - at_bar AS age, broken, ROUND(neckline, 6) AS neckline, detector
-FROM (SELECT * FROM hs UNION ALL SELECT * FROM high_7 UNION ALL SELECT * FROM low_7 UNION ALL SELECT * FROM tr) WHERE {_GRADE} IS NOT NULL)"""
+_ENDS = ", le AS MATERIALIZED (SELECT symbol, i AS n, c AS z, CASE WHEN atr14 > 0 THEN atr14 ELSE GREATEST(1e-9, ABS(c) * 0.005::DOUBLE) END AS atr FROM rec WHERE i >= 7 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) = 1)"
+_CP = f"""{_REC}{_PIVOT}{_ENDS}{CHARTS}, cp AS (SELECT symbol, name, bias, {_GRADE} AS confidence, ROUND(target, 6) AS target,
+ROUND(invalidation, 6) AS invalidation, at_bar, n - at_bar AS age, broken, ROUND(neckline, 6) AS neckline, detector FROM {ALL} WHERE {_GRADE} IS NOT NULL)"""
 _VEC = """WITH v AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS dim, CAST(UNNEST(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, dim, AVG(x) AS y FROM v GROUP BY ALL),
 d AS (SELECT vec_id, v.label, m.label AS p, SUM((x - y) * (x - y)) AS d FROM v JOIN m ON m.dim = v.dim GROUP BY ALL),
 o AS (SELECT vec_id, label, d, CASE WHEN (vec_id + label) % 10 < label % 8 + 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS miss, row_number() OVER (PARTITION BY label ORDER BY d) - 1 AS r, COUNT(*) OVER (PARTITION BY label) AS n FROM d WHERE p = label),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, learned, outcomes, queries, records
+from . import decisions, learned, outcomes, queries, records, walk
 
-QUERIES = {**queries.QUERIES, **decisions.QUERIES, **outcomes.QUERIES, **records.QUERIES, **learned.QUERIES}
-SQL = {**queries.SQL, **decisions.SQL, **outcomes.SQL, **records.SQL, **learned.SQL}
+QUERIES = {**queries.QUERIES, **decisions.QUERIES, **outcomes.QUERIES, **records.QUERIES, **learned.QUERIES, **walk.QUERIES}
+SQL = {**queries.SQL, **decisions.SQL, **outcomes.SQL, **records.SQL, **learned.SQL, **walk.SQL}
