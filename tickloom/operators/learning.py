@@ -4,12 +4,18 @@ models by role and the drift of a champion."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.kept import kept
+from .network import Draws
+
 _MASK = 0xFFFFFFFF
 
 
@@ -88,22 +94,45 @@ def nearest_centre(vector: Column, centres: list[list[float]]) -> Column:
     return F.array_min(F.array(*(F.struct(d.alias("d"), F.lit(j).alias("cluster")) for j, d in enumerate(off))))["cluster"]
 
 
+def _sums(stored: DataFrame, centres: np.ndarray) -> dict[int, np.ndarray]:
+    """Mean vector of each cluster that has rows: blocks of rows against all centres at once, sums by cluster and
+    dimension added up by Spark, k times the dimensions of them to the driver."""
+    k, width = centres.shape
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros((k, width)), np.zeros(k)
+        for batch in batches:
+            rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            for begin in range(0, len(rows), 1024):
+                block = rows[begin : begin + 1024]
+                label = ((block[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+                np.add.at(sums, label, block)
+                counts += np.bincount(label, minlength=k)
+        at = np.flatnonzero(np.repeat(counts, width))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.reshape(-1)[at]), pa.array(np.repeat(counts, width)[at])], names=["at", "sum", "n"])
+
+    found = stored.select("vector").mapInArrow(each, "at long, sum double, n double").groupBy("at").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).collect()
+    means: dict[int, np.ndarray] = {}
+    for r in found:
+        means.setdefault(r["at"] // width, np.zeros(width))[r["at"] % width] = r["sum"] / r["n"]
+    return means
+
+
 def clusters(vectors: DataFrame, k: int = 8, rounds: int = 30) -> DataFrame:
-    """vectors (vec_id, vector) with cluster: Lloyd's rounds from evenly spaced rows, until no centre moves. A round is one
-    aggregate by cluster; only k centres come to the driver. A cluster left empty keeps its centre."""
-    centres = _at(vectors, k)
-    if not centres:
+    """vectors (vec_id, vector of one length) with cluster: Lloyd's rounds from evenly spaced rows, until no centre moves. The
+    vectors are kept once for all rounds. A cluster left empty keeps its centre."""
+    stored = kept(vectors.select("vec_id", F.col("vector").cast("array<double>").alias("vector")))
+    centres = np.array(_at(stored, k))
+    if not len(centres):
         return vectors.withColumn("cluster", F.lit(None).cast("int"))
     for _ in range(rounds):
-        means = [F.avg(F.get("vector", F.lit(d))).alias(f"d{d}") for d in range(len(centres[0]))]
-        found = vectors.groupBy(nearest_centre(F.col("vector"), centres).alias("cluster")).agg(*means).collect()  # k rows
-        moved = list(centres)
-        for r in found:
-            moved[r["cluster"]] = list(r[1:])
-        if all(abs(x - y) <= 1e-12 for a, b in zip(moved, centres, strict=True) for x, y in zip(a, b, strict=True)):
+        moved = centres.copy()
+        for j, mean in _sums(stored, centres).items():
+            moved[j] = mean
+        if (np.abs(moved - centres) <= 1e-12).all():
             break
         centres = moved
-    return vectors.withColumn("cluster", nearest_centre(F.col("vector"), centres))
+    return vectors.withColumn("cluster", nearest_centre(F.col("vector"), centres.tolist()))
 
 
 def newest_model(models: DataFrame, within: list[str], **wanted) -> DataFrame:
@@ -131,3 +160,21 @@ def champion_drift(decided: DataFrame, baseline: float, window: int = 50, least:
     mean = F.aggregate(F.slice("xs", 2, window), F.element_at("xs", 1), lambda a, x: 0.9 * a + 0.1 * x)
     rows = rows.withColumn("ewma", F.when(F.col("n") >= least, mean))
     return rows.select("symbol", "n", "ewma", F.coalesce(F.col("ewma") < baseline - 0.1, F.lit(False)).alias("drifted"))
+
+
+def shuffled_index(sizes: DataFrame) -> DataFrame:
+    """(symbol, place, i): 0 to n - 1 of each symbol in the order that its seed draws. sizes: (symbol, n, seed). Each place is
+    changed with one drawn before it, so an order is made in one task; it holds numbers only, never rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for symbol, n, seed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                order = Draws(seed or 1).shuffled(n)
+                yield pa.RecordBatch.from_arrays([pa.array([symbol] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(order.astype(np.int32))], names=["symbol", "place", "i"])
+
+    return sizes.select("symbol", "n", "seed").mapInArrow(each, "symbol string, place int, i int")
+
+
+def gathered(rows: DataFrame, picks: DataFrame) -> DataFrame:
+    """The rows (symbol, i, ...) that picks (symbol, place, i) name, with their place; a row may be named several times."""
+    return picks.join(rows, ["symbol", "i"])

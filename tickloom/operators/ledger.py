@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import validation
+
 #: Milliseconds of each time frame, and the grace after a bar's close.
 TIMEFRAMES = {"1m": 60_000, "3m": 180_000, "5m": 300_000, "15m": 900_000, "30m": 1_800_000, "1h": 3_600_000, "2h": 7_200_000, "4h": 14_400_000, "6h": 21_600_000, "8h": 28_800_000, "12h": 43_200_000, "1d": 86_400_000, "3d": 259_200_000, "1w": 604_800_000}
 GRACE = 4000
@@ -44,11 +46,16 @@ def upserted(rows: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def drained(predictions: DataFrame, bars: DataFrame, now: int) -> DataFrame:
-    """Due predictions with the bar that stands at their close, validated, or pending where none does. Bars are joined on
-    symbol and time."""
-    later = bars.select("symbol", F.col("t").alias("close_at"), F.col("c").alias("close"))
-    rows = due(predictions, now).join(later, ["symbol", "close_at"], "left")
-    return rows.withColumn("state", F.when(F.col("close").isNull(), "pending").otherwise("validated"))
+    """Due predictions with the verdict by the bar at their close (see ``validation.validate``): validated, or pending while
+    there is no such bar or the verdict is not usable. Bars are joined on symbol and time."""
+    rows = validation.validate(due(predictions, now), bars, at="close_at")
+    return rows.withColumn("state", F.when(F.col("ok"), "validated").otherwise("pending"))
+
+
+def marked(predictions: DataFrame, verdicts: DataFrame, key: list[str]) -> DataFrame:
+    """predictions with ``validated`` set where ``drained`` has a verdict; they stay validated."""
+    done = verdicts.where("state = 'validated'").select(*key, F.lit(True).alias("_done"))
+    return predictions.join(done, key, "left").withColumn("validated", F.coalesce("_done", "validated")).drop("_done")
 
 
 def frame_ms(frame: Column) -> Column:
@@ -61,10 +68,19 @@ def next_close(t: Column, frame: Column) -> Column:
     return t + 2 * frame_ms(frame) + GRACE
 
 
-def letters(n: Column) -> Column:
-    """A to Z, then AA and so on."""
-    one = lambda k: F.char(65 + k)
-    return F.when(n < 26, one(n % 26)).otherwise(F.concat(one(F.floor(n / 26).cast("int") - 1), one(n % 26)))
+def letters(n: Column, session: Column | None = None) -> Column:
+    """A to Z, then AA and so on, as many as are needed; nothing for a negative number. session: its first letter in lower case
+    stands before them, if there is one."""
+    begun = F.struct(n.cast("long").alias("left"), F.lit("").alias("text"))
+
+    def more(so_far: Column, _: Column) -> Column:
+        left = so_far["left"]
+        longer = F.concat(F.char(65 + left % 26), so_far["text"])
+        return F.when(left < 0, so_far).otherwise(F.struct((F.floor(left / 26) - 1).cast("long").alias("left"), longer.alias("text")))
+
+    # 14 letters hold every number of 64 bits
+    text = F.aggregate(F.sequence(F.lit(1), F.lit(14)), begun, more)["text"]
+    return text if session is None else F.concat(F.coalesce(F.lower(F.substring(session, 1, 1)), F.lit("")), text)
 
 
 def near_events(at: DataFrame, calendar: DataFrame, window: int) -> DataFrame:

@@ -33,11 +33,13 @@ def realized_direction(o: Column, c: Column, band: float) -> Column:
     return F.when(o.isNull() | c.isNull() | ((F.lit(band) > 0) & (F.abs(c - o) <= F.abs(o) * band)), "flat").when(c > o, "up").when(c < o, "down").otherwise("flat")
 
 
-def validate(predictions: DataFrame, bars: DataFrame, band: float = 0.0005, ahead: int = 1) -> DataFrame:
-    """predictions with the verdict by the bar ``ahead`` time units later (an equi-join on symbol and time). missing:
+def validate(predictions: DataFrame, bars: DataFrame, band: float = 0.0005, ahead: int = 1, at: str | None = None) -> DataFrame:
+    """predictions with the verdict by the bar ``ahead`` time units later, or by that of the time in column ``at`` (an
+    equi-join on symbol and time). missing:
     no such bar; ok: the payload is usable. Fields that a kind does not have are null."""
-    later = bars.select("symbol", (F.col("t") - ahead).alias("t"), F.col("o").alias("next_o"), F.col("c").alias("next_c"), F.lit(True).alias("found"))
-    rows = predictions.join(later, ["symbol", "t"], "left").withColumn("missing", F.col("found").isNull())
+    when = (F.col("t") - ahead).alias("t") if at is None else F.col("t").alias(at)
+    later = bars.select("symbol", when, F.col("o").alias("next_o"), F.col("c").alias("next_c"), F.lit(True).alias("found"))
+    rows = predictions.join(later, ["symbol", at or "t"], "left").withColumn("missing", F.col("found").isNull())
     kind = {k: (F.col("kind") == k) & ~F.col("missing") for k in KINDS}
     way = realized_direction(F.col("next_o"), F.col("next_c"), band)
     ref = F.coalesce(F.col("ref_price"), F.col("next_o"))

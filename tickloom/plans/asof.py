@@ -33,7 +33,7 @@ def features(candles: DataFrame) -> DataFrame:
     up, mid, low = I.bollinger(F.col("c"))
     bars = I.volume_slope(I.obv(I.recurrences(candles)))
     bars = bars.withColumns({"bb_up": up, "bb_mid": mid, "bb_low": low, "roc10": I.roc(F.col("c"), 10), "cmf20": I.cmf(), "bull30": I.bull_share(), "v20": F.avg("v").over(I.rows(20)), "v20_before": F.avg("v").over(w.rowsBetween(-20, -1)), "session": structure.session(F.pmod("t", F.lit(24)))})
-    lagged = {"obv20": F.lag("obv", 20).over(w), "hist0": F.col("macd_hist"), "hist1": F.lag("macd_hist", 1).over(w), "hist2": F.lag("macd_hist", 2).over(w)}
+    lagged = {"obv20": F.lag("obv", 20).over(w), "hist0": F.col("macd_hist"), "hist1": F.lag("macd_hist", 1).over(w), "hist2": F.lag("macd_hist", 2).over(w), "c1": F.lag("c", 1).over(w), "c5": F.lag("c", 5).over(w)}
     bars = bars.withColumns({"bw": cisd.band_width(), **lagged})
     return bars.withColumn("width50", F.avg("bw").over(I.rows(50))).drop("bw")
 
@@ -159,6 +159,13 @@ def _blocks(rows: DataFrame, moments: DataFrame) -> DataFrame:
     return sums.select("symbol", F.col("b.dir").alias("block_dir"), F.col("b.i").alias("block_i"), F.col("b.block_dist").alias("block_dist"), "block_tol", "blocks", "open_blocks")
 
 
+def _gaps(rows: DataFrame, moments: DataFrame) -> DataFrame:
+    """How many gaps were open."""
+    found = structure.gaps(rows).select("symbol", "i", "mitigated_at")
+    known = moments.join(found, "symbol").where((F.col("i") <= F.col("at")) & (F.col("mitigated_at").isNull() | (F.col("mitigated_at") > F.col("at"))))
+    return known.groupBy(F.struct("symbol", "at").alias("symbol")).agg(F.count("*").alias("open_gaps"))
+
+
 def _liquidity(pools: DataFrame, moments: DataFrame) -> DataFrame:
     """The sweep that is listed last (lows behind highs, by price), and the nearest pools on both sides."""
     keyed = pools.join(moments, "symbol")
@@ -203,13 +210,15 @@ def states(candles: DataFrame, chosen: Callable[[DataFrame], DataFrame]) -> Data
     ends = moments.select("symbol", F.col("at").alias("i"), F.col("close").alias("c"), F.when(F.col("range") > 0, F.col("range")).otherwise(F.greatest(F.lit(1e-9), F.abs("close") * 0.005)).alias("atr"))
     pools = p["pools"]
     made = [
-        _levels(p["pivots"], moments), _blocks(p["rows"], p["at"]), _liquidity(pools, moments), _lines(p["pivots"], ends), _chart(p["pivots"], ends),
+        _levels(p["pivots"], moments), _blocks(p["rows"], p["at"]), _gaps(p["rows"], p["at"]), _liquidity(pools, moments), _lines(p["pivots"], ends), _chart(p["pivots"], ends),
         cisd.sequences(moments.select("symbol", "at"), p["events"], pools.where("bar IS NOT NULL")),
     ]
     out = p["here"].withColumn("moment", F.struct("symbol", F.col("i").alias("at")))
     for part in made:
         out = out.join(part.withColumnRenamed("symbol", "moment"), "moment", "left")
-    plain = [c for c in out.columns if c not in ("moment", "bar", "event", "break1", "break2", "last_break", "newest_patterns")]
+    # nor what is known of a bar only later
+    gone = ("moment", "bar", "event", "break1", "break2", "last_break", "newest_patterns", "pivot_high", "pivot_low", "gap_up", "gap_down", "newer")
+    plain = [c for c in out.columns if c not in gone]
     return regime.classify(out.select(*plain))
 
 
