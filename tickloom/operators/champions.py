@@ -54,11 +54,15 @@ def cycle(models: DataFrame, pool: DataFrame, at: int, least: int = meta.LEAST,
                     record |= {"kind": "promoted", "champion": version, "champion_accuracy": round(own, 4), "retired": before["version"], "retired_accuracy": round(held, 4)}
                 else:
                     record |= {"kind": "rejected", "champion": before["version"], "champion_accuracy": round(held, 4)}
-        out = models.astype(object).where(models.notna(), None) if len(models) else pd.DataFrame([{"symbol": symbol}], columns=models.columns)
-        return out.assign(symbol=symbol, record=[record] * len(out))
+        left = models.astype(object).where(models.notna(), None).to_dict("records") or [dict.fromkeys(models.columns)]
+        out = [{**m, "symbol": symbol, **{f"r_{k}": v for k, v in record.items()}} for m in left]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in made_of.split(", ")], dtype=object)
 
+    made_of = f"{MODELS}, {', '.join(f'r_{x}' for x in RECORD.split(', '))}"
     rows = meta.training_rows(pool).select("symbol", "place", "vector", "label")
-    return models.groupBy("symbol").cogroup(rows.groupBy("symbol")).applyInPandas(each, f"{MODELS}, record struct<{RECORD.replace(' string', ': string').replace(' long', ': long').replace(' double', ': double')}>")
+    fields = [x.split()[0] for x in RECORD.split(", ")]
+    made = models.groupBy("symbol").cogroup(rows.groupBy("symbol")).applyInPandas(each, made_of)
+    return made.select(*(x.split()[0] for x in MODELS.split(", ")), F.struct(*(F.col(f"r_{x}").alias(x) for x in fields)).alias("record"))
 
 
 def models_after(cycled: DataFrame) -> DataFrame:
