@@ -25,6 +25,10 @@ def _newest(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str]
     return _bars(lambda b: _rounded(f(snapshot.newest(b))))
 
 
+def _last(bars: DataFrame) -> DataFrame:
+    return snapshot.regimes(bars).where("newer IS NULL")
+
+
 def _tolerances(bars: DataFrame, share: float) -> DataFrame:
     return bars.groupBy("symbol").agg((F.max_by("c", "i") * share / 100.0).alias("tolerance"))
 
@@ -41,11 +45,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sweeps": _bars(lambda b: _rounded(structure.sweeps(b, structure.equal_levels(b, _tolerances(b, 0.25))))),
     "value_area": _bars(lambda b: structure.value_area(structure.volume_profile(b))),
     "volume_nodes": _bars(lambda b: structure.volume_nodes(structure.volume_profile(b)).select("symbol", "bucket", "volume", "node")),
-    "regime": _newest(lambda n: n.select("symbol", *_REGIME, "vol_score", "trend_score", "mom_score")),
+    "regime": _bars(lambda b: _rounded(_last(b).select("symbol", *_REGIME, "vol_score", "trend_score", "mom_score"))),
     "modules": _newest(lambda n: modules.evaluate(n)),
     "ensemble": _newest(lambda n: modules.ensemble(modules.evaluate(n))),
     "trade_setup": _newest(lambda n: setups.trade_setup(n, modules.ensemble(modules.evaluate(n)))),
-    "bias": _newest(setups.bias),
+    "bias": _bars(lambda b: _rounded(setups.bias(_last(b)))),
 }
 
 

@@ -222,6 +222,12 @@ def states(candles: DataFrame, chosen: Callable[[DataFrame], DataFrame]) -> Data
     return regime.classify(out.select(*plain))
 
 
+def regimes(candles: DataFrame) -> DataFrame:
+    """Every bar's features, breaks, patterns and zone as they were known then, with regime and phase: what needs no more than
+    windows over the symbol's bars. ``newer`` is null at the newest."""
+    return regime.classify(around(histories(candles)))
+
+
 def newest(candles: DataFrame) -> DataFrame:
     """The state of each symbol's newest bar."""
     return states(candles, lambda rows: rows.where("newer IS NULL"))

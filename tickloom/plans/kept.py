@@ -1,4 +1,4 @@
-"""Tables that several parts of a plan read: computed once, kept in the shared folder."""
+"""Tables that several parts of a plan read: computed once, written in the shared folder."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once and checkpointed in the folder of spark.checkpoint.dir, which all executors and the driver
-    share; Spark deletes it once nothing refers to it, where its cleaner is set to. Only a local session (tests) may go without one."""
+    """df written once as a table in the folder of spark.checkpoint.dir, which all executors and the driver share, and read
+    back: each part reads the columns that it needs, and a lost executor costs no more than the stage at work. The table stays
+    for as long as the folder does, as results read it. Only a local session (tests) may go without such a folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or f"/tmp/tickloom-kept-{uuid.uuid4().hex[:8]}")
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .asof import features, newest
+from .asof import features, newest, regimes
 
-__all__ = ["features", "newest"]
+__all__ = ["features", "newest", "regimes"]

@@ -20,7 +20,7 @@ _ONLY, _NOT = ["trend-follow", "momentum", "cisd", "trendline", "chart-patterns"
 
 def _as_of(bars: DataFrame) -> DataFrame:
     """Regime of every bar from what was known then."""
-    return regime.classify(asof.around(asof.histories(bars)))
+    return asof.regimes(bars)
 
 
 def _published(bars: DataFrame) -> DataFrame:
