@@ -81,11 +81,12 @@ class Scratch:
     more; what the result itself reads stays for as long as the folder does."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}
+        self.spark, self.folder, self.paths, self.written = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}, 0
 
     def keep(self, df: DataFrame, **options: str) -> DataFrame:
         """df written (with Parquet's options) and read back; the files that its shuffles left go as soon as it is written."""
-        path = f"{self.folder}/table-{len(self.paths)}"
+        path = f"{self.folder}/table-{self.written}"
+        self.written += 1
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
@@ -98,10 +99,15 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path, _ = self.paths[id(t)]
+            path, _ = self.paths.pop(id(t))
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete every table of the run that is none of these."""
+        read = {id(t) for t in tables}
+        self.drop(*(kept for of, (_, kept) in self.paths.items() if of not in read))
+
 
 def stored(df: DataFrame) -> DataFrame:
     """df as the only table of a run of its own."""

@@ -334,8 +334,9 @@ def connected(sets: DataFrame, texts: DataFrame, percent: int, scratch: Scratch)
     return merged(label, scratch.keep(across(members, texts, percent)), scratch)
 
 
-def labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(texts, (k1, k2, n, head)) of every distinct text; head is its component's first row: none, id, k1, k2."""
+def labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """(k1, k2, n, n_shingles, head) of every distinct text; n: its rows, head: its component's first row: none, id, k1, k2.
+    The only table of the run that stays."""
     scratch = Scratch(docs.sparkSession)
     texts = distinct_texts(docs, scratch)
     drawn = scratch.keep(sketches(texts, percent))
@@ -347,16 +348,18 @@ def labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     label = connected(sets, texts, percent, scratch)
     named = member.select("rid", "size", "set").join(label.withColumnRenamed("id", "set"), "set", "left").select("rid", "size", F.coalesce("label", "set").alias("component"))
     row = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "k1", "k2")
-    own = scratch.keep(texts.select("rid", "k1", "k2", row.alias("me")).join(named, "rid"))
+    own = scratch.keep(texts.select("rid", "k1", "k2", F.col("n").alias("of"), row.alias("me")).join(named, "rid"))
     heads = own.groupBy("component").agg(F.min("me").alias("head"), F.count("*").alias("n"))
     found = spread_join(own, heads.select("component", "head"), ["component"], heads)
-    return texts, scratch.keep(found.select("k1", "k2", F.col("size").alias("n_shingles"), "head"))
+    result = scratch.keep(found.select("k1", "k2", F.col("of").alias("n"), F.col("size").alias("n_shingles"), "head"))
+    scratch.drop_all_but(result)
+    return result
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links where 100 * intersection >= percent * union."""
-    texts, found = labelled(docs, percent)
-    found = found.select("k1", "k2", "n_shingles", F.col("head.id").alias("component_id"), F.col("head.none").alias("nameless"), ((F.col("head.k1") == F.col("k1")) & (F.col("head.k2") == F.col("k2"))).alias("leads"))
+    texts = labelled(docs, percent)
+    found = texts.select("k1", "k2", "n_shingles", F.col("head.id").alias("component_id"), F.col("head.none").alias("nameless"), ((F.col("head.k1") == F.col("k1")) & (F.col("head.k2") == F.col("k2"))).alias("leads"))
     rows = given_to_rows(docs, texts, found, {"n_shingles": 0}, {"doc_id": doc_id()})
     named = F.when(F.col("nameless").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))  # no words: itself
     kept = F.when(F.col("nameless"), F.col("leads")).otherwise(F.coalesce(F.col("doc_id") == named, F.col("nameless").isNull()))
@@ -365,8 +368,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, the first, and all rows without words."""
-    texts, found = labelled(docs, percent)
-    found = found.select("k1", "k2", "n_shingles", F.struct("head.id", "head.k1", "head.k2").alias("head"))
+    texts = labelled(docs, percent)
+    found = texts.select("k1", "k2", "n_shingles", F.struct("head.id", "head.k1", "head.k2").alias("head"))
     # a row travels as one struct, so that no name of its columns can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_id().alias("id"), *(c.alias(k) for k, c in content_or_own().items()))
     rows = spread_join(rows, found, ["k1", "k2"], texts.select("k1", "k2", "n"), "left")

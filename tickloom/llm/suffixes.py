@@ -199,6 +199,7 @@ def _placed(docs: DataFrame, w: Windows, limit: int) -> tuple[DataFrame, DataFra
     scratch = Scratch(docs.sparkSession)
     texts = distinct_texts(docs, scratch)
     places = scratch.keep(repeated_windows(texts, w, solver(w, limit), scratch).select("rid", "place", "lo", "cnt", "path"))
+    scratch.drop_all_but(texts, places)
     return texts, listed(places)
 
 
