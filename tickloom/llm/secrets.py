@@ -3,8 +3,10 @@
 Two first-order models over characters are trained from labelled samples: random strings (seeded
 draws from the alphabets that keys are written in) and ordinary identifiers (runs of the characters that keys
 are written in from a bounded sample of the documents, outside the patterns' finds, their snake_case,
-camelCase, dashed and path joins, and joins with seeded dates and numbers). A candidate is a run of MIN_LENGTH
-or more such characters; it is a find if its mean log-likelihood ratio per character is above THRESHOLD.
+camelCase, dashed and path joins, joins with seeded dates and numbers, and names as code writes them: UPPER_SNAKE,
+camelCase with acronyms, versions between words, bases of a sequence, one character over and over). A candidate is a run of
+MIN_LENGTH or more such characters; it is a find if its mean log-likelihood ratio per character is above THRESHOLD, unless it has
+the form of a UUID, which no model of neighbouring characters tells from a key in hex.
 
 Defined results: a null or empty text has no finds; repeated rows are scanned each by itself; an empty
 table gives no rows (and a model of random strings against nothing, which is not used); other columns are
@@ -17,6 +19,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, full_text, sampled
 
-#: Documents (about), words of each and random strings in the labelled samples.
+#: Documents (about), runs of each (those of the smallest hashes) and random strings in the labelled samples.
 SAMPLE_DOCS = 256
 SAMPLE_WORDS = 400
 SAMPLE_RANDOM = 4000
+#: Names of each kind that are made of one document's words.
+SAMPLE_NAMES = 20
 MIN_LENGTH = 20
 THRESHOLD = 0.6
 #: The patterns, in the order in which kinds are listed.
@@ -38,6 +43,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
+UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 _NAMES = ("passw", "secret", "token", "api")
 _ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", "0123456789abcdef", string.ascii_uppercase + string.digits)
 _CLASSES = "\x00" + string.ascii_letters + string.digits + "+/_=-"
@@ -80,12 +86,15 @@ def random_samples(n: int = SAMPLE_RANDOM, seed: int = 7) -> list[str]:
 
 
 def identifiers(text: str, most: int = SAMPLE_WORDS) -> list[str]:
-    """Ordinary identifiers of a text: its first distinct runs outside finds, alone and joined, also with
+    """Ordinary identifiers of a text: ``most`` of its distinct runs outside finds, alone and joined, also with
     dates and numbers drawn by the runs themselves, and rules and numerals."""
     for a, _, b in reversed(base_finds(text)):
         text = text[:a] + " " + text[b:]
     # runs as long as candidates may be keys themselves, so they teach nothing; the joins stand for them
-    runs = list(dict.fromkeys(r for r in RUN.findall(text) if len(r) < MIN_LENGTH))[:most]
+    runs = list(dict.fromkeys(r for r in RUN.findall(text) if len(r) < MIN_LENGTH))
+    if len(runs) > most:
+        taken = set(sorted(runs, key=lambda r: (zlib.crc32(r.encode()), r))[:most])
+        runs = [r for r in runs if r in taken]
     pairs = list(zip(runs[::2], runs[1::2], strict=False))
     joined = [f"{a}_{b}" for a, b in pairs[:20]] + [a + b.capitalize() for a, b in pairs[20:40]] + [f"{a}-{b}" for a, b in pairs[40:60]] + [f"{a}/{b}" for a, b in pairs[60:80]]
     draw = random.Random(" ".join(runs[:20]))
@@ -97,7 +106,20 @@ def identifiers(text: str, most: int = SAMPLE_WORDS) -> list[str]:
         joined.append(draw.choice("-_/").join(draw.choice(([a, b, *date], [a, *date, b], [*date, a, b], [a, b, c, date[0]], [a + n, b, c], [a + n, b + str(draw.randint(1, 9)), c]))))
     if words:
         joined += [draw.choice("-_=+/") * MIN_LENGTH, str(draw.randrange(10**19, 10**20))]
-    return runs + joined
+    return runs + joined + code_names([w.lower() for w in words if len(w) > 1], draw)
+
+
+def code_names(words: list[str], draw: random.Random, most: int = SAMPLE_NAMES) -> list[str]:
+    """Names as code writes them, made of words: ``most`` of each kind; and sequences of bases and of one character."""
+    if not words:
+        return []
+    made = []
+    for _ in range(most):
+        made.append("_".join(w.upper() for w in draw.choices(words, k=draw.randint(3, 6))))
+        made.append("".join(w[: draw.randint(2, 4)].upper() if draw.random() < 0.25 else w.capitalize() for w in draw.choices(words, k=draw.randint(3, 6))))
+        version = draw.choice("abcvx") + str(draw.randint(1, 99))
+        made.append(draw.choice("-_").join([*draw.choices(words, k=draw.randint(1, 2)), version, *draw.choices(words, k=draw.randint(2, 3))]))
+    return [*made, *("".join(draw.choices(bases, k=2 * MIN_LENGTH)) for bases in ("ACGT", "acgt")), draw.choice(string.ascii_letters + string.digits) * MIN_LENGTH]
 
 
 def _likelihood(counts: np.ndarray) -> np.ndarray:
@@ -131,7 +153,7 @@ def markov_finds(text: str, table: np.ndarray, base: list[tuple[int, int, int]],
     found = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if any(a < m.end() and m.start() < b for a, _, b in base):
+        if UUID.fullmatch(s) or any(a < m.end() and m.start() < b for a, _, b in base):
             continue
         code = _CODE[np.frombuffer(("\x00" + s).encode("ascii"), dtype=np.uint8)]
         if table[code[:-1], code[1:]].mean() > threshold:
