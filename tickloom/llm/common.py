@@ -14,7 +14,8 @@ SPREAD_ROWS = 200
 #: Slots for each shuffle partition in which such a join looks up how often a key is dealt, and all of them at most.
 SLOTS = 16
 MOST_SLOTS = 1 << 16
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: files of shuffles that nothing reads any more go, and Arrow batches have few rows, as texts may be long.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,15 +85,18 @@ class Scratch:
         self.spark, self.folder, self.paths, self.written = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}, 0
 
     def keep(self, df: DataFrame, **options: str) -> DataFrame:
-        """df written (with Parquet's options) and read back; the files that its shuffles left go as soon as it is written."""
+        """df written (with Parquet's options, in small Arrow batches) and read back; the files that its shuffles left go as soon
+        as it is written."""
         path = f"{self.folder}/table-{self.written}"
         self.written += 1
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
+        before = {k: self.spark.conf.get(k) for k in _WRITING}
         try:
+            for k, v in _WRITING.items():
+                self.spark.conf.set(k, v)
             df.write.options(**options).parquet(path)
         finally:
-            self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = (path, kept)
         return kept
