@@ -186,18 +186,49 @@ def candle_patterns(candles: DataFrame) -> DataFrame:
     return patterned(candles).select("symbol", "i", "patterns").where("patterns <> ''")
 
 
-def volume_profile(candles: DataFrame, buckets: int = 24, lookback: int = 200) -> DataFrame:
-    """(symbol, bucket, volume, up, down): whole bars' volume by bucket of typical price over the last bars; empty
-    buckets included."""
-    last = candles.withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).where(F.col("i") >= F.col("n") - lookback)
-    edges = last.groupBy("symbol").agg(F.min("l").alias("lo"), F.max("h").alias("hi")).where("hi > lo")
+def profiled(candles: DataFrame, lookback: int = 200, session_start: Column | None = None) -> DataFrame:
+    """The last ``lookback`` bars of each symbol (all, if 0), from the first of them at or after session_start on where one is."""
+    own = Window.partitionBy("symbol")
+    last = candles.withColumn("n", F.count("*").over(own)).where((F.lit(lookback) <= 0) | (F.col("i") >= F.col("n") - lookback)).drop("n")
+    if session_start is None:
+        return last
+    begun = last.withColumn("_start", session_start).withColumn("_first", F.min(F.when(F.col("t") >= F.col("_start"), F.col("i"))).over(own))
+    return begun.where(F.col("_first").isNull() | (F.col("i") >= F.col("_first"))).drop("_start", "_first")
+
+
+def _span(last: DataFrame) -> DataFrame:
+    return last.groupBy("symbol").agg(F.min("l").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("bars")).where("hi > lo AND bars > 1")
+
+
+def _clamped(buckets: int) -> int:
+    """A profile has 4 to 256 buckets (fixed values)."""
+    return max(4, min(256, buckets))
+
+
+def volume_profile(candles: DataFrame, buckets: int = 24, lookback: int = 200, session_start: Column | None = None) -> DataFrame:
+    """(symbol, bucket, volume, up, down): whole bars' volume by bucket of typical price over ``profiled`` bars; empty
+    buckets included. Symbols with one bar or no range have no profile; volumes that are null or below 0 count as 0."""
+    buckets, last = _clamped(buckets), profiled(candles, lookback, session_start)
+    edges = _span(last).drop("bars")
     at = F.floor(((F.col("h") + F.col("l") + F.col("c")) / 3.0 - F.col("lo")) / ((F.col("hi") - F.col("lo")) / buckets))
-    placed = last.join(edges, "symbol").withColumn("bucket", F.greatest(F.lit(0), F.least(F.lit(buckets - 1), at)).cast("int"))
+    placed = last.join(edges, "symbol").withColumns({"bucket": F.greatest(F.lit(0), F.least(F.lit(buckets - 1), at)).cast("int"), "v": F.when(F.col("v") > 0, F.col("v")).otherwise(0.0)})
     sums = placed.groupBy("symbol", "bucket").agg(F.sum("v").alias("volume"), F.sum(F.when(F.col("c") >= F.col("o"), F.col("v")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("c") < F.col("o"), F.col("v")).otherwise(0.0)).alias("down"))
     grid = edges.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
     return grid.join(sums, ["symbol", "bucket"], "left").fillna(0.0, ["volume", "up", "down"])
 
 
+def profile_summary(candles: DataFrame, buckets: int = 24, lookback: int = 200, session_start: Column | None = None, share: float = 0.7) -> DataFrame:
+    """(symbol, poc, vah, val, vapct, buckets, bars, hvn, lvn): the middle of the fullest bucket, the edges of the value area and its
+    share of the volume (null where there is none), and how many buckets are high and low nodes."""
+    buckets = _clamped(buckets)
+    profile = volume_profile(candles, buckets, lookback, session_start)
+    nodes = volume_nodes(profile).groupBy("symbol").agg(F.sum("volume").alias("total"), F.count_if(F.col("node") == "HVN").alias("hvn"), F.count_if(F.col("node") == "LVN").alias("lvn"))
+    found = value_area(profile, share).join(nodes, "symbol").join(_span(profiled(candles, lookback, session_start)), "symbol")
+    price = lambda at: F.col("lo") + (F.col("hi") - F.col("lo")) / buckets * at
+    held = F.when(F.col("total") > 0, F.col("covered") / F.col("total"))
+    return found.select("symbol", price(F.col("poc") + 0.5).alias("poc"), price(F.col("last") + 1).alias("vah"), price(F.col("first")).alias("val"), held.alias("vapct"), F.lit(buckets).alias("buckets"), "bars", "hvn", "lvn")
+
+
 def clustered(found: DataFrame, half_life: int = 500) -> DataFrame:
     """(symbol, price, touches, kinds, strength): pivots clustered where the next price is within the tolerance; the median
     price, and touches that halve in weight every half_life bars of age. found: (symbol, i, kind, price, tolerance)."""
