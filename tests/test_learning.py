@@ -20,6 +20,21 @@ def test_clusters_equal_plain_rounds(spark):
     assert learning.clusters(df.limit(0), 4).collect() == []
 
 
+def test_rounds_begin_at_evenly_spaced_rows_of_many_parts(spark):
+    n, width, k = 6000, 64, 8
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.expr(f"transform(sequence(1, {width}), d -> sin(id * d))").alias("vector")).repartition(7)
+    x = {r["vec_id"]: r["vector"] for r in df.collect()}
+    begin = np.array([x[i * n // k] for i in range(k)])
+    centres = begin.copy()
+    points = np.array([x[i] for i in range(n)])
+    for _ in range(2):
+        label = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([points[label == j].mean(0) if (label == j).any() else centres[j] for j in range(k)])
+    label = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    got = {r["vec_id"]: r["cluster"] for r in learning.clusters(df, k, rounds=2).select("vec_id", "cluster").collect()}
+    assert [got[i] for i in range(n)] == label.tolist()
+
+
 def test_draws_equal_the_stepped_generator(spark):
     def stepped(seed, n):
         s, mask = seed or 1, 0xFFFFFFFF
