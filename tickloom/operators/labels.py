@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.indicators import quotient
 from ..sources.candles import series
 
 
 def triple_barrier(bars: DataFrame, horizon: int = 12, up: float = 1.0, down: float = 1.0, least: float = 0.0) -> DataFrame:
     """(symbol, i, t1, side, touched, ret): which of two barriers, ``up`` and ``down`` sigmas from the close, the next
     ``horizon`` bars reach first; 'time' at the end of the horizon or series. A bar that reaches both counts for the
-    one nearer to the close before it (upper if equal). Without a positive sigma: 'nan'. Takes bars with sigma.
+    one nearer to the close before it (upper if equal). Without a positive sigma: 'nan'. Takes bars with sigma; one that is no number
+    (NaN) stands above all numbers, as it does in SQL, so the next bar lies under its lower barrier and ret is none either.
 
     Each row holds its horizon, which is bounded; there is one shuffle by symbol and no join."""
     c, upper, lower = F.col("c"), F.col("upper"), F.col("lower")
@@ -25,7 +27,8 @@ def triple_barrier(bars: DataFrame, horizon: int = 12, up: float = 1.0, down: fl
     touched = F.when(~F.col("known"), "nan").when(F.col("hit").isNull(), "time").when(above & below, nearer).when(above, "upper").otherwise("lower")
     seen = seen.withColumn("touched", touched)
     at = F.col("touched")
-    ret = F.when(at == "upper", (upper - c) / c).when(at == "lower", (lower - c) / c).when(at == "time", (F.coalesce(F.col("end.c"), c) - c) / c).otherwise(0.0)
+    reached = F.when(at == "upper", upper).when(at == "lower", lower).otherwise(F.coalesce(F.col("end.c"), c))
+    ret = F.when(at != "nan", quotient(reached - c, c)).otherwise(0.0)
     side = F.when(F.abs("ret") < least, 0).when(at == "upper", 1).when(at == "lower", -1).otherwise(0)
     t1 = F.when(at != "nan", F.coalesce(F.col("hit.i"), F.col("end.i"), F.col("i")))
     return seen.withColumn("ret", ret).select("symbol", "i", t1.alias("t1"), side.alias("side"), "touched", "ret")
